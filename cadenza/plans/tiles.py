@@ -26,6 +26,11 @@ def _tile(column: Column, tiles: Column) -> Column:
     return F.pmod(F.xxhash64(column), tiles).cast("int")
 
 
+def spread_rows(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows that are each a whole unit of work. The explicit count keeps AQE from merging them by size."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def inner_products(
     queries: DataFrame,
     items: DataFrame,
@@ -70,8 +75,7 @@ def inner_products(
             .agg(F.collect_list("p").alias("banned"))
         )
         pairs = q_side.join(i_side, "it").join(banned, ["qt", "it"], "left")
-    # One row is a whole pair of tiles: spread the pairs evenly before the matrix products.
-    spread = pairs.select("qs", "items", "banned").repartition(F.xxhash64("qt", "it"))
+    spread = spread_rows(pairs, "qt", "it").select("qs", "items", "banned")
 
     out_schema = T.StructType(
         [T.StructField(query, q_type), T.StructField(item, i_type), T.StructField(score, T.DoubleType())]
