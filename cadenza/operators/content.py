@@ -45,6 +45,22 @@ def content_topk(
     )
 
 
+def content_table(
+    features: DataFrame, seeds: DataFrame, size: int, pool: DataFrame, seen: DataFrame, *, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """(user_id, track_id, content): every unseen pool track per user, content null when not positive.
+
+    Candidates and their content scores leave the tiles together, so a blend starts from one table.
+    """
+    profiles = seed_profiles(features, seeds, size).select("user_id", unit(F.col("profile")).alias("u"))
+    tracks = features.join(pool.select("track_id").distinct(), "track_id", "left_semi")
+    scored = inner_products(
+        profiles, tracks.select("track_id", unit(F.col("features")).alias("u")),
+        query="user_id", item="track_id", vector="u", exclude=seen.select("user_id", "track_id"), tile_rows=tile_rows,
+    )
+    return scored.select("user_id", "track_id", F.when(F.col("score") > 0, F.col("score")).alias("content"))
+
+
 def content_scores(features: DataFrame, seeds: DataFrame, size: int, candidates: DataFrame) -> DataFrame:
     """Positive content scores for given (user, track) candidates only."""
     profiles = seed_profiles(features, seeds, size).select("user_id", unit(F.col("profile")).alias("p"))

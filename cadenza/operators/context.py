@@ -91,48 +91,79 @@ def ppmi(pairs: DataFrame) -> DataFrame:
     return joined.select("track_id", "context_id", value.alias("ppmi")).where(F.col("ppmi") > 0)
 
 
+def _times_matrix(block: DataFrame, vector: str, matrix, out: str) -> DataFrame:
+    """(track_id, vector x matrix) for a small matrix, one product per Arrow batch."""
+    id_type = block.schema["track_id"].dataType.simpleString()
+
+    def multiply(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(vector).flatten().to_numpy().reshape(batch.num_rows, -1) @ matrix
+                offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * rows.shape[1]
+                vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("track_id"), vectors], names=["track_id", out])
+
+    return block.select("track_id", vector).mapInArrow(multiply, f"track_id {id_type}, {out} array<double>")
+
+
+def _inner(block: DataFrame, left: str, right: str, width: int):
+    """left^T right as a small matrix: one partial product per task, width x width numbers in all."""
+    import numpy as np
+
+    def product(batches):
+        import pyarrow as pa
+
+        total = np.zeros((width, width))
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, width) for c in (left, right))
+                total += a.T @ b
+        flat = total.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["cell", "v"])
+
+    columns = [F.col(left).alias(left)] if left == right else [F.col(left), F.col(right)]
+    partial = block.select(*columns).mapInArrow(product, "cell long, v double")
+    cells = partial.groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(width * width)
+    for c in cells:
+        out[c["cell"]] = c["v"]
+    return out.reshape(width, width)
+
+
 def truncated_svd(
     matrix: DataFrame,
     *,
     dim: int = 16,
     oversample: int = 12,
-    max_rounds: int = 12,
-    tolerance: float = 1e-5,
+    max_rounds: int = 8,
+    tolerance: float = 1e-6,
     seed: int = 42,
 ) -> DataFrame:
     """(track_id, vector): left singular vectors times the root of the singular values of a symmetric matrix.
 
-    Block power iteration with Rayleigh-Ritz (randomized SVD). The tall factor stays a DataFrame; the
-    driver sees only (dim + oversample) squared numbers per round. Each round is checkpointed in the
-    session's shared folder, so a lost executor costs one round.
+    ``matrix`` is (row id, column id, value). Block power iteration with Rayleigh-Ritz (randomized
+    SVD). The tall factor stays a DataFrame; the driver sees (dim + oversample) squared numbers per
+    round. Each round is checkpointed in the session's shared folder, so a lost executor costs a round.
     """
     import numpy as np
 
-    spark = matrix.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(matrix.sparkSession)
+    row, column, value = matrix.columns
     cells = matrix.select(
-        F.col(matrix.columns[0]).alias("track_id"), F.col(matrix.columns[1]).alias("context_id"), F.col(matrix.columns[2]).alias("v")
+        F.col(row).alias("track_id"), F.col(column).alias("context_id"), F.col(value).alias("v")
     ).checkpoint()
     ids = cells.select("track_id").distinct()
-    count = ids.count()
-    if count == 0:
-        return ids.withColumn("vector", F.array().cast("array<double>"))
-    width = max(1, min(dim + oversample, count))
+    width = max(1, min(dim + oversample, ids.count()))
 
-    def combine(vector: str, m: np.ndarray) -> Column:
-        """vector (1 x width) times a small matrix (width x columns)."""
-        table = F.array(*[F.array(*[F.lit(float(x)) for x in column]) for column in m.T])
-        return F.transform(table, lambda column: dot(F.col(vector), column))
-
-    def gram(left: str, right: str) -> Column:
-        return F.array(*[F.sum(F.col(left)[i] * F.col(right)[j]) for i in range(width) for j in range(width)])
-
-    def multiply(block: DataFrame) -> DataFrame:
-        right = block.select(F.col("track_id").alias("context_id"), "q")
+    def multiply(block: DataFrame, vector: str) -> DataFrame:
+        # A symmetric matrix has every id both as row and as column, so no row is lost by the join.
+        right = block.select(F.col("track_id").alias("context_id"), F.col(vector).alias("q"))
         joined = salted_join(cells, right, "context_id", spread=["track_id"], how="inner")
-        return joined.groupBy("track_id").agg(
-            F.array(*[F.sum(F.col("v") * F.col("q")[i]) for i in range(width)]).alias("y")
-        )
+        sums = [F.sum(F.col("v") * F.col("q")[i]) for i in range(width)]
+        return joined.groupBy("track_id").agg(F.array(*sums).alias("y"))
 
     def noise(i: int) -> Column:
         # Hash-based, so a recomputed task draws the same numbers.
@@ -145,28 +176,24 @@ def truncated_svd(
     q = ids.select("track_id", F.array(*[noise(i) for i in range(width)]).alias("q"))
     last = None
     for _ in range(max_rounds):
-        y = multiply(q).join(ids, "track_id", "right").withColumn(
-            "y", F.coalesce("y", F.array(*[F.lit(0.0)] * width))
-        ).checkpoint()
-        g = np.array(y.agg(gram("y", "y").alias("g")).first()["g"]).reshape(width, width)
+        y = multiply(multiply(q, "q"), "y").checkpoint()
+        g = _inner(y, "y", "y", width)
         values, vectors = np.linalg.eigh((g + g.T) / 2)
         safe = values > max(values.max(), 0.0) * 1e-13
         whiten = np.where(safe, 1.0 / np.sqrt(np.where(safe, values, 1.0)), 0.0)
         order = np.argsort(-values)
-        q = y.select("track_id", combine("y", (vectors * whiten)[:, order]).alias("q"))
-        top = np.sqrt(np.maximum(values[order], 0.0))[:dim]
+        q = _times_matrix(y, "y", (vectors * whiten)[:, order], "q")
+        top = np.maximum(values[order], 0.0)[:dim] ** 0.25
         if last is not None and np.max(np.abs(top - last)) <= tolerance * max(top[0], 1e-300):
             break
         last = top
-    # Rayleigh-Ritz on the block: B = Qt (A Q) gives signed eigenvalues; singular values are |eigenvalue|.
-    aq = multiply(q).join(q, "track_id", "right").withColumn(
-        "y", F.coalesce("y", F.array(*[F.lit(0.0)] * width))
-    )
-    b = np.array(aq.agg(gram("q", "y").alias("g")).first()["g"]).reshape(width, width)
+    # Rayleigh-Ritz on the block: Qt A Q gives signed eigenvalues; singular values are their sizes.
+    both = multiply(q, "q").join(q, "track_id")
+    b = _inner(both, "q", "y", width)
     values, vectors = np.linalg.eigh((b + b.T) / 2)
     order = np.argsort(-np.abs(values))[: min(dim, width)]
     scale = vectors[:, order] * np.sqrt(np.abs(values[order]))
-    return q.select("track_id", combine("q", scale).alias("vector")).checkpoint()
+    return _times_matrix(q, "q", scale, "vector").checkpoint()
 
 
 def direct_context(pairs: DataFrame) -> DataFrame:

@@ -43,18 +43,25 @@ def feature_table(tracks: DataFrame, *, max_genres: int = MAX_GENRES) -> tuple[D
 
 
 def standardize(table: DataFrame, names: list[str]) -> DataFrame:
-    """(track_id, features): population z-scores as one array; a constant column divides by 1."""
+    """(track_id, features): population z-scores as one array; a constant column divides by 1.
+
+    A spread at rounding-noise level counts as constant: partial sums of equal values may differ in the
+    last digit, and dividing by that noise would invent a signal.
+    """
     stats = table.agg(
         F.struct(
             *[F.avg(f"`{n}`").alias(f"m{i}") for i, n in enumerate(names)],
             *[F.stddev_pop(f"`{n}`").alias(f"s{i}") for i, n in enumerate(names)],
         ).alias("stats")
     ).scalar()
+    # Attached once: the statistics are one scalar subquery, not one per feature.
+    with_stats = table.withColumn("_stats", stats)
     scaled = []
     for i, n in enumerate(names):
-        spread = stats[f"s{i}"]
-        scaled.append((F.col(f"`{n}`") - stats[f"m{i}"]) / F.when(spread == 0.0, 1.0).otherwise(spread))
-    return table.select("track_id", F.array(*scaled).alias("features"))
+        mean, spread = F.col(f"_stats.m{i}"), F.col(f"_stats.s{i}")
+        constant = spread <= 1e-12 * F.greatest(F.abs(mean), F.lit(1.0))
+        scaled.append((F.col(f"`{n}`") - mean) / F.when(constant, 1.0).otherwise(spread))
+    return with_stats.select("track_id", F.array(*scaled).alias("features"))
 
 
 def content_features(tracks: DataFrame, *, max_genres: int = MAX_GENRES) -> tuple[DataFrame, list[str]]:
