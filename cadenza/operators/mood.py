@@ -120,22 +120,26 @@ def mood_relevance(mood: str, features: dict[str, Column] | None = None) -> Colu
     return total(parts) / len(parts)
 
 
-def audio_signals() -> dict[str, Column]:
-    """Derived signals in [0, 1] from the audio columns of a row."""
-    energy = clamp(try_double(F.col("energy"), 0.5))
-    dance = clamp(try_double(F.col("danceability"), 0.5))
-    valence = clamp(try_double(F.col("valence"), 0.5))
-    acoustic = clamp(try_double(F.col("acousticness"), 0.5))
-    tempo = try_double(F.col("tempo"), 120.0)
+def audio_signals(columns: list[str] | None = None) -> dict[str, Column]:
+    """Derived signals in [0, 1] from the audio columns of a row; an absent column is neutral."""
+
+    def number(name: str, default: float) -> Column:
+        return try_double(F.col(name), default) if columns is None or name in columns else F.lit(default)
+
+    energy = clamp(number("energy", 0.5))
+    dance = clamp(number("danceability", 0.5))
+    valence = clamp(number("valence", 0.5))
+    acoustic = clamp(number("acousticness", 0.5))
+    tempo = number("tempo", 120.0)
     return {
         "energy": energy,
         "danceability": dance,
         "valence": valence,
         "acousticness": acoustic,
-        "instrumentalness": clamp(try_double(F.col("instrumentalness"), 0.0)),
+        "instrumentalness": clamp(number("instrumentalness", 0.0)),
         "tempo_fast": clamp((tempo - 90.0) / 70.0),
         "tempo_slow": 1.0 - clamp((tempo - 70.0) / 80.0),
-        "popularity": clamp(try_double(F.col("catalog_popularity"), 0.0)),
+        "popularity": clamp(number("catalog_popularity", 0.0)),
         "not_acoustic": 1.0 - acoustic,
         "low_energy": 1.0 - energy,
         "medium_low_energy": 1.0 - F.abs(energy - 0.35),
@@ -151,13 +155,13 @@ def _weighted(signals: dict[str, Column], weights: dict[str, float]) -> Column:
     return clamp(total([signals[n] * w for n, w in weights.items()]) / sum(weights.values()))
 
 
-def audio_mood_score(mood: str) -> Column:
-    m, s = scoring_mood(mood), audio_signals()
+def audio_mood_score(mood: str, columns: list[str] | None = None) -> Column:
+    m, s = scoring_mood(mood), audio_signals(columns)
     return calibrated(_weighted(s, POSITIVE_SIGNALS[m]), _weighted(s, PENALTY_SIGNALS[m]))
 
 
-def _top_signals(weights: dict[str, float]) -> Column:
-    s = audio_signals()
+def _top_signals(weights: dict[str, float], columns: list[str]) -> Column:
+    s = audio_signals(columns)
     rows = F.array(
         *[F.struct((-(s[n] * w)).alias("o"), F.lit(n).alias("n")) for n, w in weights.items()]
     )
@@ -191,7 +195,7 @@ def keyword_signals(terms: list[str], text: Column) -> Column:
 
 def mood_score(mood: str, columns: list[str]) -> Column:
     """Keyword score for rows without audio features, audio score otherwise."""
-    audio = audio_mood_score(mood)
+    audio = audio_mood_score(mood, columns)
     if "ranking_mode" not in columns:
         return audio
     return F.when(F.col("ranking_mode") == METADATA_ONLY, keyword_mood_score(mood, mood_text(columns))).otherwise(audio)
@@ -204,10 +208,10 @@ def mood_details(mood: str, columns: list[str]) -> list[Column]:
     return [
         mood_score(mood, columns).alias("mood_score"),
         F.when(by_text, "metadata_only").otherwise("audio_features").alias("mood_mode"),
-        F.when(by_text, keyword_signals(MOOD_WORDS[m], text)).otherwise(_top_signals(POSITIVE_SIGNALS[m])).alias(
+        F.when(by_text, keyword_signals(MOOD_WORDS[m], text)).otherwise(_top_signals(POSITIVE_SIGNALS[m], columns)).alias(
             "positive_signals"
         ),
-        F.when(by_text, keyword_signals(BLOCKED_WORDS[m], text)).otherwise(_top_signals(PENALTY_SIGNALS[m])).alias(
+        F.when(by_text, keyword_signals(BLOCKED_WORDS[m], text)).otherwise(_top_signals(PENALTY_SIGNALS[m], columns)).alias(
             "penalty_signals"
         ),
     ]

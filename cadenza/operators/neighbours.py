@@ -139,9 +139,12 @@ def propagate(interactions: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 def cf_scores(interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     """Positive scores of unseen tracks, optionally inside a pool; an unknown user gets no rows."""
+    if pool is not None:
+        # Neighbour lists are final by now, so cutting them to the pool first gives the same scores.
+        kept = pool.select(F.col("track_id").alias("neighbour_id")).distinct()
+        neighbours = neighbours.join(kept, "neighbour_id", "left_semi")
     scores = propagate(interactions, neighbours).where(F.col("score") > 0)
-    scores = scores.join(interactions.select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")
-    return scores if pool is None else scores.join(pool.select("track_id").distinct(), "track_id", "left_semi")
+    return scores.join(interactions.select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")
 
 
 def cf_topk(

@@ -17,9 +17,11 @@ from cadenza.plans.skew import top_k
 TILE_ROWS = 2048
 
 
-def _tile_count(df: DataFrame, tile_rows: int) -> Column:
-    one = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)), F.lit(1)).cast("int").alias("n"))
-    return one.scalar()
+def _tile_count(df: DataFrame, tile_rows: int, at_least: int = 1) -> Column:
+    """Tiles of at most about ``tile_rows`` rows; a small table still gives ``at_least`` tiles of 128 rows or more."""
+    n = F.count(F.lit(1))
+    wanted = F.greatest(F.ceil(n / F.lit(tile_rows)), F.least(F.lit(at_least), F.ceil(n / F.lit(128))), F.lit(1))
+    return df.agg(wanted.cast("int").alias("n")).scalar()
 
 
 def _tile(column: Column, tiles: Column) -> Column:
@@ -50,7 +52,8 @@ def inner_products(
     ``k=None`` keeps every score. ``floor`` drops scores not above it. ``exclude`` holds (query, item)
     pairs that must not be returned; it is matched inside the tiles, so it costs its own size only.
     """
-    q_tiles, i_tiles = _tile_count(queries, tile_rows), _tile_count(items, tile_rows)
+    parallel = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q_tiles, i_tiles = _tile_count(queries, tile_rows, parallel), _tile_count(items, tile_rows)
     q_type, i_type = queries.schema[query].dataType, items.schema[item].dataType
     q_side = (
         queries.select(F.col(query).alias("id"), F.col(vector).alias("v"), _tile(F.col(query), q_tiles).alias("qt"))

@@ -11,6 +11,7 @@ from cadenza.operators.hybrid import (
     BlendWeights, advanced_blend, candidate_universe, component_table, exploration_weights, hybrid, priors, user_history,
 )
 from cadenza.operators.neighbours import cf_scores, item_neighbours
+from registry import collaborative, content  # noqa: F401  (define the SQL views used below)
 from registry import views as V
 from registry.sql import view, with_views
 
