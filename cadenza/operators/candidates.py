@@ -93,11 +93,13 @@ def _best_per_key(catalog: DataFrame, keys: list[str], n: int) -> DataFrame:
     )
 
 
-def _expand(keys: DataFrame, best: DataFrame, on: list[str], source: int) -> DataFrame:
+def _expand(keys: DataFrame, best: DataFrame, on: list[str], sources: dict[int, int]) -> DataFrame:
+    """Candidates of one kind of key; ``sources`` maps each source to how many of the best it takes."""
     joined = salted_join(keys, best, on, spread=["user_id"], how="inner")
-    return joined.select(
-        "user_id", F.lit(source).alias("source"), "value_pos", F.explode("best").alias("b"),
-    ).select("user_id", "source", "value_pos", "b.rank", "b.track_id", "b.track_name", "b.artist_name")
+    takes = F.array(*[F.struct(F.lit(s).alias("source"), F.slice("best", 1, n).alias("best")) for s, n in sources.items()])
+    per_source = joined.select("user_id", "value_pos", F.explode(takes).alias("t"))
+    rows = per_source.select("user_id", "t.source", "value_pos", F.explode("t.best").alias("b"))
+    return rows.select("user_id", "source", "value_pos", "b.rank", "b.track_id", "b.track_name", "b.artist_name")
 
 
 def expand_candidates(recent: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -113,11 +115,11 @@ def expand_candidates(recent: DataFrame, catalog: DataFrame) -> DataFrame:
         "*", F.lower(strip(F.col("track_name"))).alias("title"), F.lower(strip(F.col("artist_name"))).alias("artist")
     )
     by_genre = catalog.withColumn("genre", F.explode(genre_terms(F.col("artist_genres"))))
+    by_artist = _best_per_key(catalog, ["artist_name"], max(TOP_PER_ARTIST, MATCHES_PER_ARTIST))
     parts = [
-        _expand(artists, _best_per_key(catalog, ["artist_name"], TOP_PER_ARTIST), ["artist_name"], 0),
-        _expand(artists, _best_per_key(catalog, ["artist_name"], MATCHES_PER_ARTIST), ["artist_name"], 1),
-        _expand(titles, _best_per_key(by_title, ["title", "artist"], MATCHES_PER_TRACK), ["title", "artist"], 2),
-        _expand(genres, _best_per_key(by_genre, ["genre"], GENRES), ["genre"], 3),
+        _expand(artists, by_artist, ["artist_name"], {0: TOP_PER_ARTIST, 1: MATCHES_PER_ARTIST}),
+        _expand(titles, _best_per_key(by_title, ["title", "artist"], MATCHES_PER_TRACK), ["title", "artist"], {2: MATCHES_PER_TRACK}),
+        _expand(genres, _best_per_key(by_genre, ["genre"], GENRES), ["genre"], {3: GENRES}),
     ]
     out = parts[0]
     for p in parts[1:]:

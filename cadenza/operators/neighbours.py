@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.columns import rank_key
 from cadenza.plans.skew import salted_join, top_k
+from cadenza.plans.sparse import LONG_ROW, longest_row, sparse_product
 from cadenza.plans.tiles import spread_rows
 
 NEIGHBOURS = 100
@@ -88,12 +89,15 @@ def item_neighbours(
     long_history: int = LONG_HISTORY,
     users_per_block: int = USERS_PER_BLOCK,
     items_per_tile: int = ITEMS_PER_TILE,
+    long_row: int = LONG_ROW,
 ) -> DataFrame:
     """(track_id, neighbour_id, similarity): cosine of item columns, top k per track, exact.
 
-    Short histories (at most ``long_history`` rows) join with themselves on the user, i<j only, and
-    are summed map-side. Long ones go through tile products. Both parts add up to the same sums, so
-    the split changes the cost and never the result. Zero-strength pairs carry no similarity.
+    A track's row links to its users, and every user brings the short list of its tracks, so a track is
+    summed and cut to its k best inside one task. Users with more than ``long_history`` tracks cannot
+    be such a list: their products come from bounded tiles, and the tracks they touch are added up and
+    ranked by Spark from both kinds of partial sums. The split changes the cost, never the result.
+    Strengths of zero carry no similarity.
     """
     rows = interactions.select("user_id", "track_id", F.col("interaction_strength").cast("double").alias("r"))
     rows = rows.where(F.col("r") != 0)
@@ -101,54 +105,77 @@ def item_neighbours(
     scaled = salted_join(rows, norms, "track_id", spread=["user_id"], how="inner").select(
         "user_id", "track_id", (F.col("r") / F.col("len")).alias("x")
     )
+    named = [F.col("row").alias("track_id"), F.col("col").alias("neighbour_id"), F.col("score").alias("similarity")]
+    most_users = longest_row(rows, "track_id")
+
+    def packed(users: DataFrame) -> tuple[DataFrame, DataFrame]:
+        lists = users.groupBy(F.col("user_id").alias("link")).agg(
+            F.collect_list(F.struct(F.col("track_id").alias("col"), F.col("x").alias("v"))).alias("cells")
+        )
+        return lists, users.select(F.col("track_id").alias("row"), F.col("user_id").alias("link"), F.col("x").alias("weight"))
+
+    if longest_row(rows, "user_id") <= long_history:
+        lists, entries = packed(scaled)
+        return sparse_product(
+            entries, lists, k=k, exclude_self=True, long_row=long_row, longest=most_users
+        ).select(*named)
+
     long_users = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long_history)
     short = scaled.join(long_users, "user_id", "left_anti")
     long = scaled.join(long_users, "user_id", "left_semi")
-    left = short.select("user_id", F.col("track_id").alias("i"), F.col("x").alias("xi"))
-    right = short.select("user_id", F.col("track_id").alias("j"), F.col("x").alias("xj"))
-    short_sums = (
-        left.join(right, "user_id")
-        .where(F.col("i") < F.col("j"))
-        .groupBy("i", "j")
-        .agg(F.sum(F.col("xi") * F.col("xj")).alias("s"))
-    )
-    long_sums = _tile_products(long, users_per_block, items_per_tile)
-    sums = short_sums.unionByName(long_sums).groupBy("i", "j").agg(F.sum("s").alias("similarity"))
-    both = sums.select(
-        F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))).alias("p"),
-        "similarity",
-    ).select(F.col("p.a").alias("track_id"), F.col("p.b").alias("neighbour_id"), "similarity")
+    lists, entries = packed(short)
+    touched = long.select(F.col("track_id").alias("row")).distinct()
+    alone = entries.join(touched, "row", "left_anti")
+    shared = entries.join(touched, "row", "left_semi")
+
+    best = sparse_product(alone, lists, k=k, exclude_self=True, long_row=long_row, longest=most_users).select(*named)
+    partial = sparse_product(shared, lists, k=None, exclude_self=True, long_row=long_row, longest=most_users).select(*named)
+    tiles = _tile_products(long, users_per_block, items_per_tile).select(
+        F.explode(
+            F.array(
+                F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
+                F.struct(F.col("j").alias("a"), F.col("i").alias("b")),
+            )
+        ).alias("p"),
+        "s",
+    ).select(F.col("p.a").alias("track_id"), F.col("p.b").alias("neighbour_id"), F.col("s").alias("similarity"))
+    sums = partial.unionByName(tiles).groupBy("track_id", "neighbour_id").agg(F.sum("similarity").alias("similarity"))
     order = [rank_key(F.col("similarity")).desc(), F.col("neighbour_id")]
-    return top_k(both.where(F.col("similarity") != 0), ["track_id"], order, k)
+    mixed = top_k(sums.where(F.col("similarity") > 0), ["track_id"], order, k)
+    return best.unionByName(mixed.select("track_id", "neighbour_id", "similarity"))
 
 
-def propagate(interactions: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """(user_id, track_id, score): sum of strength x similarity over the user's history.
-
-    A track has at most k neighbours, so they travel as one array per track and a track that a third
-    of all rows mention is still split over tasks.
-    """
-    lists = neighbours.groupBy("track_id").agg(F.collect_list(F.struct("neighbour_id", "similarity")).alias("near"))
-    rows = interactions.select("user_id", "track_id", F.col("interaction_strength").alias("r"))
-    joined = salted_join(rows, lists, "track_id", spread=["user_id"], how="inner")
-    hits = joined.select("user_id", "r", F.explode("near").alias("n"))
-    return hits.groupBy("user_id", F.col("n.neighbour_id").alias("track_id")).agg(
-        F.sum(F.col("r") * F.col("n.similarity")).alias("score")
-    )
-
-
-def cf_scores(interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | None = None) -> DataFrame:
-    """Positive scores of unseen tracks, optionally inside a pool; an unknown user gets no rows."""
+def _product(interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | None, k: int | None, long_row: int) -> DataFrame:
+    """History x neighbour lists (at most k entries each), own tracks left out."""
     if pool is not None:
         # Neighbour lists are final by now, so cutting them to the pool first gives the same scores.
         kept = pool.select(F.col("track_id").alias("neighbour_id")).distinct()
         neighbours = neighbours.join(kept, "neighbour_id", "left_semi")
-    scores = propagate(interactions, neighbours).where(F.col("score") > 0)
-    return scores.join(interactions.select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")
+    lists = neighbours.groupBy(F.col("track_id").alias("link")).agg(
+        F.collect_list(F.struct(F.col("neighbour_id").alias("col"), F.col("similarity").alias("v"))).alias("cells")
+    )
+    rows = interactions.select(
+        F.col("user_id").alias("row"), F.col("track_id").alias("link"),
+        F.col("interaction_strength").cast("double").alias("weight"),
+    )
+    longest = longest_row(interactions, "user_id")
+    out = sparse_product(rows, lists, k=k, exclude_links=True, long_row=long_row, longest=longest)
+    return out.withColumnRenamed("row", "user_id").withColumnRenamed("col", "track_id")
+
+
+def cf_scores(
+    interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | None = None, *, long_row: int = LONG_ROW
+) -> DataFrame:
+    """(user_id, track_id, score): positive scores of unseen tracks, optionally inside a pool.
+
+    The score is the sum of strength x similarity over the user's history; an unknown user gets no rows.
+    """
+    return _product(interactions, neighbours, pool, None, long_row)
 
 
 def cf_topk(
-    interactions: DataFrame, neighbours: DataFrame, *, k: int = 10, pool: DataFrame | None = None
+    interactions: DataFrame, neighbours: DataFrame, *, k: int = 10, pool: DataFrame | None = None,
+    long_row: int = LONG_ROW,
 ) -> DataFrame:
-    scores = cf_scores(interactions, neighbours, pool).select("user_id", "track_id", "score")
-    return top_k(scores, ["user_id"], [rank_key(F.col("score")).desc(), F.col("track_id")], k)
+    """Top k of the same scores per user."""
+    return _product(interactions, neighbours, pool, k, long_row)

@@ -260,7 +260,7 @@ def mood_audio(spark, d):
     def row(m):
         score, mode, positive, penalty = M.mood_details(m, t.columns)
         return F.struct(
-            F.lit(m).alias("mood"), F.round(score, 9).alias("score"), mode.alias("mode"),
+            F.lit(m).alias("mood"), F.round(score + 1e-11, 6).alias("score"), mode.alias("mode"),
             F.array_join(positive, "|").alias("positive"), F.array_join(penalty, "|").alias("penalty"),
             M.mood_fit_label(score).alias("fit"), M.rule_mood_match(F.lit(m)).alias("rule"),
         )
@@ -523,7 +523,7 @@ RULE = """CASE WHEN (mood = 'workout' AND energy >= 0.72 AND danceability >= 0.6
   OR (mood = 'melancholic' AND valence <= 0.35 AND energy <= 0.45) OR (mood = 'study' AND acousticness >= 0.55 AND instrumentalness >= 0.08)
   OR (mood = 'calm' AND energy <= 0.45) THEN 1.0::DOUBLE ELSE 0.0 END"""
 MOOD_AUDIO_SQL = " UNION ALL ".join(
-    f"""SELECT track_id, mood, round(s, 9) AS score, 'audio_features' AS mode, coalesce(p, '') AS positive, coalesce(q, '') AS penalty,
+    f"""SELECT track_id, mood, round(s + 1e-11, 6) AS score, 'audio_features' AS mode, coalesce(p, '') AS positive, coalesce(q, '') AS penalty,
       CASE WHEN s >= 0.7 THEN 'High' WHEN s >= 0.4 THEN 'Medium' ELSE 'Low' END AS fit, {RULE} AS rule
       FROM (SELECT *, '{m}' AS mood, {_mood_sql(m)} AS s, {_top_sql(M.POSITIVE_SIGNALS[m])} AS p, {_top_sql(M.PENALTY_SIGNALS[m])} AS q
             FROM ({_SIGNALS.format('v_curated')}))"""
