@@ -14,7 +14,7 @@ from cadenza.functions.columns import labels_where, rank_key, total, try_double
 from cadenza.functions.text import genre_labels, is_blank, strip
 from cadenza.operators.hybrid import min_max
 from cadenza.operators.mood import mood_score, rule_mood_match
-from cadenza.plans.skew import top_k
+from cadenza.plans.skew import salted_join, top_k
 
 # Boosts of the profile rerank.
 ARTIST_BOOST, GENRE_BOOST, TASTE_BOOST, MOOD_BOOST = 0.025, 0.025, 0.04, 0.015
@@ -64,7 +64,9 @@ def rerank_profile(ranked: DataFrame, catalog: DataFrame, signals: DataFrame) ->
     Returns score, score_before, adjustment, reasons and the new rank.
     """
     info = catalog.select("track_id", "artist_name", "artist_genres", *TASTE_COLUMNS, "instrumentalness")
-    rows = ranked.select("user_id", "track_id", "score").join(info, "track_id", "left").join(signals, "user_id", "left")
+    # One track may be recommended to a third of all users; a user has one short list.
+    rows = salted_join(ranked.select("user_id", "track_id", "score"), info, "track_id", spread=["user_id"])
+    rows = rows.join(signals, "user_id", "left")
     artist = strip(F.coalesce("artist_name", F.lit("")))
 
     def affinity(name: str) -> Column:

@@ -1,4 +1,11 @@
-"""Incremental interactions and recent plays on Structured Streaming."""
+"""Incremental interactions and recent plays on Structured Streaming.
+
+Both results can be merged from parts: counts add up, minima and maxima combine, and the newest 20 of
+a union are among the newest 20 of its parts. So every micro-batch writes only its own small aggregate,
+under its batch id, and a reader merges the parts. The cost of a batch depends on the batch alone, a
+batch that runs again overwrites its own part (nothing is counted twice), and late rows need no
+special case.
+"""
 
 from __future__ import annotations
 
@@ -10,43 +17,31 @@ from cadenza.operators.candidates import RECENT_PLAYS, recent_plays
 from cadenza.operators.interactions import listens_to_interactions, merge_interactions
 
 
-def _version(path: str, batch_id: int) -> str:
-    return f"{path}/version={batch_id}"
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
 
 
-def _read_version(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    from cadenza.sources.payloads import _exists
+def _write_part(part: DataFrame, path: str, batch_id: int) -> None:
+    part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    target = _version(path, batch_id)
-    return spark.read.parquet(target) if batch_id >= 0 and _exists(spark, f"{target}/_SUCCESS") else None
 
+def stream_interactions(listens: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Aggregate a stream of cleaned listens into one interaction part per micro-batch."""
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """Newest complete version of a streamed table."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
-    versions = [int(s.getPath().getParent().getName().split("=")[1]) for s in found]
-    return spark.read.parquet(_version(path, max(versions)))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_part(listens_to_interactions(batch), path, batch_id)
 
+    return listens.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
-def stream_interactions(listens: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep interactions up to date from a stream of cleaned listens.
-
-    Each micro-batch is aggregated and merged with the version before it, and written as its own
-    version. A batch that runs again after a failure reads the same input version and overwrites the
-    same output, so counts are never added twice. Counts, minima and maxima commute, so late rows need
-    no special case and no watermark.
-    """
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        fresh = listens_to_interactions(batch)
-        previous = _read_version(batch.sparkSession, path, batch_id - 1)
-        merged = fresh if previous is None else merge_interactions(previous.select(*fresh.columns), fresh)
-        merged.write.mode("overwrite").parquet(_version(path, batch_id))
-
-    return (
-        listens.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+
+def read_interactions(spark: SparkSession, path: str) -> DataFrame:
+    """Interactions over all parts written so far; equal to aggregating all listens at once."""
+    return merge_interactions(_parts(spark, path))
+
+
+def compact_interactions(spark: SparkSession, path: str, target: str) -> None:
+    """Merge all parts into a single one under a new path, to keep reads short."""
+    _write_part(read_interactions(spark, path), target, 0)
 
 
 def stream_running_counts(listens: DataFrame, *, watermark: str | None = None) -> DataFrame:
@@ -60,15 +55,14 @@ def stream_running_counts(listens: DataFrame, *, watermark: str | None = None) -
 def stream_recent_plays(
     plays: DataFrame, path: str, checkpoint: str, *, limit: int = RECENT_PLAYS, **trigger
 ) -> StreamingQuery:
-    """Keep the newest plays per user from a stream of (user_id, track_id, played_at, ...).
+    """Keep each micro-batch's newest plays per user from a stream of (user_id, track_id, played_at, ...)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_part(recent_plays(batch, limit=limit).drop("pos"), path, batch_id)
 
-    The stored rows and the batch are ranked together and cut to ``limit`` per user; ties in time are
-    broken by track id, so the result equals the batch ranking over all plays.
-    """
+    return plays.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
-    def update(batch: DataFrame, batch_id: int) -> None:
-        previous = _read_version(batch.sparkSession, path, batch_id - 1)
-        rows = batch if previous is None else previous.drop("pos").unionByName(batch)
-        recent_plays(rows, limit=limit).write.mode("overwrite").parquet(_version(path, batch_id))
 
-    return plays.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+def read_recent_plays(spark: SparkSession, path: str, *, limit: int = RECENT_PLAYS) -> DataFrame:
+    """Newest plays per user over all parts; ties in time are broken by track id, as in the batch form."""
+    return recent_plays(_parts(spark, path), limit=limit)

@@ -407,7 +407,7 @@ def stream_listens(spark, d):
     """The events table as a stream: interactions kept by micro-batches equal the batch aggregation."""
     from cadenza.session import ensure_checkpoint_dir
     from cadenza.sources.listens import LogColumns, clean_listens
-    from cadenza.streaming.incremental import latest_version, stream_interactions
+    from cadenza.streaming.incremental import read_interactions, stream_interactions
 
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
@@ -420,7 +420,7 @@ def stream_listens(spark, d):
     )
     listens = clean_listens(raw, LogColumns("user", "artist", "track", "timestamp"))
     stream_interactions(listens, f"{base}/table", f"{base}/log", availableNow=True).awaitTermination()
-    out = latest_version(spark, f"{base}/table")
+    out = read_interactions(spark, f"{base}/table")
     return out.withColumn("first_timestamp", F.unix_micros("first_timestamp")).withColumn("last_timestamp", F.unix_micros("last_timestamp"))
 
 
@@ -788,3 +788,10 @@ ORACLES = {
              arg_min(artist_name, (ts, artist_name)) AS artist_name, arg_min(track_name, (ts, track_name)) AS track_name,
              epoch_us(min(ts)) AS first_timestamp, epoch_us(max(ts)) AS last_timestamp FROM v_listens GROUP BY 1, 2"""),
 }
+ORACLES["content_candidates"] = with_views(f"""
+  , p AS (SELECT user_id, list(z ORDER BY pos) AS v FROM (
+      SELECT user_id, pos, avg(z) AS z FROM v_seeds JOIN v_z USING (track_id) GROUP BY 1, 2) GROUP BY 1),
+  s AS (SELECT d.user_id, d.track_id, {dot('p.v', 't.v')} / (sqrt({dot('p.v', 'p.v')}) * sqrt({dot('t.v', 't.v')})) AS score
+        FROM v_dedup d JOIN p USING (user_id) JOIN v_vec t USING (track_id)
+        WHERE NOT EXISTS (SELECT 1 FROM v_seeds x WHERE x.user_id = d.user_id AND x.track_id = d.track_id))
+  SELECT user_id, track_id, round(score, 6) AS score FROM s WHERE score > 0""").replace("\n,", ",", 1)

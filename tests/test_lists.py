@@ -12,7 +12,9 @@ from cadenza.operators import playlist as P
 from cadenza.operators import profile as T
 from cadenza.operators import rerank as R
 from cadenza.operators.candidates import dedupe_candidates, recent_plays
-from cadenza.streaming.incremental import latest_version, stream_interactions, stream_recent_plays
+from cadenza.streaming.incremental import (
+    compact_interactions, read_interactions, read_recent_plays, stream_interactions, stream_recent_plays, stream_running_counts,
+)
 from cadenza.operators.interactions import listens_to_interactions
 
 
@@ -177,13 +179,18 @@ def test_streams_equal_batch(spark, tmp_path):
         return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     stream_interactions(stream(), str(tmp_path / "i"), str(tmp_path / "ic"), availableNow=True).awaitTermination()
     columns = ["user_id", "track_id", "listen_count", "first_timestamp", "last_timestamp"]
-    assert sorted(map(tuple, latest_version(spark, str(tmp_path / "i")).select(*columns).collect())) == sorted(
-        map(tuple, listens_to_interactions(df).select(*columns).collect()))
+    want = sorted(map(tuple, listens_to_interactions(df).select(*columns).collect()))
+    assert sorted(map(tuple, read_interactions(spark, str(tmp_path / "i")).select(*columns).collect())) == want
+    compact_interactions(spark, str(tmp_path / "i"), str(tmp_path / "i2"))
+    assert sorted(map(tuple, read_interactions(spark, str(tmp_path / "i2")).select(*columns).collect())) == want
+    counts = stream_running_counts(stream()).writeStream.outputMode("complete").format("memory").queryName("running")
+    counts.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("running").select(*columns).collect())) == want
     plays = df.selectExpr("user_id", "track_id", "ts AS played_at")
     source = stream().selectExpr("user_id", "track_id", "ts AS played_at")
     stream_recent_plays(source, str(tmp_path / "r"), str(tmp_path / "rc"), limit=5, availableNow=True).awaitTermination()
     key = ["user_id", "pos", "track_id"]
-    assert sorted(map(tuple, latest_version(spark, str(tmp_path / "r")).select(*key).collect())) == sorted(
+    assert sorted(map(tuple, read_recent_plays(spark, str(tmp_path / "r"), limit=5).select(*key).collect())) == sorted(
         map(tuple, recent_plays(plays, limit=5).select(*key).collect()))
 
 
