@@ -13,7 +13,8 @@ RANK_DIGITS = 9
 
 
 def rank_key(score: Column) -> Column:
-    return F.round(score, RANK_DIGITS)
+    """Ordering key only: the score as a whole number of 1e-9 steps (plain arithmetic, no decimals)."""
+    return F.rint(score * F.lit(10.0**RANK_DIGITS))
 
 
 def try_double(c: Column, default: float | None = 0.0) -> Column:

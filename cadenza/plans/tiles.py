@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.functions.columns import RANK_DIGITS
+from cadenza.functions.columns import RANK_DIGITS, rank_key
 from cadenza.plans.skew import top_k
 
 TILE_ROWS = 2048
@@ -140,4 +140,4 @@ def inner_products(
     scored = spread.mapInArrow(multiply, out_schema)
     if k is None:
         return scored
-    return top_k(scored, [query], [F.round(score, digits).desc(), F.col(item)], k)
+    return top_k(scored, [query], [rank_key(F.col(score)).desc(), F.col(item)], k)
