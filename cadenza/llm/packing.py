@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -26,27 +27,72 @@ class Limits:
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts, each white-space chunk encoded once while it stays in the cache.
+    """Token ids of whole texts as little-endian bytes; what was encoded before is looked up.
 
-    The vocabulary never merges across a space or a line end, so a text's ids are its chunks' ids in order.
+    The vocabulary never merges across a space or a line end, so a text's ids are those of its chunks in order,
+    and a chunk's ids are those of the pieces that the vocabulary's own pattern cuts. Chunks of characters below
+    U+0180, where lower-casing and normal form are plain, are cut here and go to the model piece by piece; any
+    other chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, *, cached: int = 600_000, longest: int = 64) -> None:
+    def __init__(self, path: str, *, cached: int = 1_000_000, longest: int = 64) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached, self.longest = Tokenizer.from_file(path), cached, longest
-        self.known: dict[str, tuple] = {}
+        self.model = self.tokenizer.model
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            shown = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(piece) <= self.longest:
+                self.pieces[piece] = got
+        return got
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() or max(chunk) < "\u0180" and "\u0130" not in chunk:
+            low = chunk.lower()
+            if low.isalpha():
+                return self._piece(low)
+            core = low.rstrip(".,;:!?$%&*#")
+            if core.isalpha() and "'" not in low:
+                return self._piece(core) + self._piece(low[len(core) :])
+            if low.isprintable() and "<|" not in low:
+                return b"".join(map(self._piece, self.cut(low)))
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    @staticmethod
+    def _folded(text: str) -> str:
+        """Lower case at once where that cannot differ from what the tokenizer does."""
+        if "<|" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.cached:
-            self.known = {}
-        new = list(set(chain.from_iterable(split)).difference(self.known))
-        self.known.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        out = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, chunks)), "<u4") for chunks in split]
+        for cache in (self.chunks, self.pieces):
+            if len(cache) > self.cached:
+                cache.clear()
+        split = [self._folded(t).replace("\n", " ").split(" ") for t in texts]
+        known = self.chunks
+        new = set(chain.from_iterable(split)).difference(known)
+        known.update(zip(new, map(self._chunk, new)))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for chunks in split]
         for chunk in new:
             if len(chunk) > self.longest:
-                del self.known[chunk]
+                del known[chunk]
         return out
 
 
