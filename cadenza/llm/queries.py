@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, lsh_forest, packing, substrings
+from cadenza.llm import crf_quality, decontaminate, language_id, lsh_forest, packing, substrings
+
+from cadenza.llm.common import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = (crc_mod(F.col("doc_id"), language_id.FOLD) == language_id.HELD_OUT).alias("held_out")
+    return language_id.predict(docs, language_id.learn(docs)).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,14 +40,25 @@ def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = crf_quality.score(docs, crf_quality.learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (crc_mod(F.col("doc_id"), crf_quality.FOLD) == 0).alias("held_out"), "score",
+        (F.col("score") >= crf_quality.CUT).cast("int").alias("predicted"),
+    )
+
+
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_byte_network": op1_byte_network,
     "op2_vector_packing": op2_vector_packing,
     "op3_recompression": op3_recompression,
     "op5_suffix_automaton": op5_suffix_automaton,
+    "op6_line_crf": op6_line_crf,
     "op8_lsh_forest": op8_lsh_forest,
 }
 
