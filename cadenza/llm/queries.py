@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import crf_quality, decontaminate, language_id, lsh_forest, packing, substrings
+from cadenza.llm import bloom_lookup, crf_quality, decontaminate, language_id, lsh_forest, packing, substrings
 
 from cadenza.llm.common import crc_mod
 
@@ -53,6 +53,12 @@ def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bloom_lookup.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return out.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_byte_network": op1_byte_network,
     "op2_vector_packing": op2_vector_packing,
@@ -60,6 +66,7 @@ QUERIES = {
     "op5_suffix_automaton": op5_suffix_automaton,
     "op6_line_crf": op6_line_crf,
     "op8_lsh_forest": op8_lsh_forest,
+    "op9_bloom_lookup": op9_bloom_lookup,
 }
 
 ORACLES = {
