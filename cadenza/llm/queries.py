@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bloom_lookup, crf_quality, decontaminate, language_id, lsh_forest, packing, substrings
+from cadenza.llm import bloom_lookup, crf_quality, decontaminate, language_id, lsh_forest, packing, personal_data, substrings
 
 from cadenza.llm.common import crc_mod
 
@@ -49,6 +49,13 @@ def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(_table(spark, sf_dir, "documents"))
+    counts = (F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS))
+    digest = F.sha2(personal_data.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, personal_data.joined(F.col("spans")).alias("spans"))
+
+
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +72,7 @@ QUERIES = {
     "op3_recompression": op3_recompression,
     "op5_suffix_automaton": op5_suffix_automaton,
     "op6_line_crf": op6_line_crf,
+    "op7_weak_supervision": op7_weak_supervision,
     "op8_lsh_forest": op8_lsh_forest,
     "op9_bloom_lookup": op9_bloom_lookup,
 }
