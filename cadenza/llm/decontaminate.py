@@ -270,3 +270,12 @@ def decontaminate(found: DataFrame, *, max_coverage: float = 0.5) -> DataFrame:
             yield part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type))
 
     return kept.mapInArrow(run, kept.schema)
+
+
+def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_coverage: float = 0.5, **options) -> DataFrame:
+    """The documents, all columns, after ``decontaminate``; documents without hits stay as they are."""
+    keep = {f"keep_{k}": c for k, c in enumerate(docs.columns) if c != text_col}
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in keep.items()))
+    found = decontaminate(find_contamination(rows, items, keep=tuple(keep), **options), max_coverage=max_coverage)
+    back = {c: k for k, c in keep.items()} | {text_col: "text"}
+    return found.select(*(F.col(back[c]).alias(c) for c in docs.columns))

@@ -338,3 +338,13 @@ def near_duplicates(
         F.col("id").alias("doc_id"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
     )
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The document of smallest id of each class of ``near_duplicates``, all columns as they were.
+
+    Of rows that repeat both id and text one stays; a class whose ids are all null keeps one row of each text.
+    """
+    near = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    first = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    return docs.join(first, docs[id_col].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates([id_col, text_col])

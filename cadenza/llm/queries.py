@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bloom_lookup, crf_quality, decontaminate, language_id, lsh_forest, packing, personal_data, substrings
+from cadenza.llm import bloom_lookup, crf_quality, decontaminate, language_id, lsh_forest, packing, personal_data, substrings, tool_calls, warc
 
 from cadenza.llm.common import crc_mod
 
@@ -32,6 +32,10 @@ def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(warc.build_derivatives(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -66,15 +70,48 @@ def op9_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+#: Tools of the calls that ``op10_tool_links`` reads out of the conversations.
+TOOLS = {
+    "search": {"limit": ("integer", True), "query": ("string", True)},
+    "summarise": {"limit": ("integer", False), "query": ("string", True)},
+    "translate": {"limit": ("integer", True), "query": ("string", True), "to": ("string", True)},
+}
+
+
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results read out of conversations: what a user says is a call, the next assistant turn its result.
+
+    The turn picks the tool and, now and then, arguments of a wrong type or of another tool; a call depends on the
+    one at half its turn, which need not exist.
+    """
+    name = F.element_at(F.array(F.lit("search"), F.lit("summarise"), F.lit("translate")), (F.col("turn") % 3 + 1).cast("int"))
+    call_id = lambda turn: F.concat_ws("_", F.lit("call"), "conv_id", turn.cast("string"))
+    arguments = F.when(F.col("turn") % 5 == 4, F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").cast("string").alias("limit")))).otherwise(
+        F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit")))
+    )
+    depends = F.when(F.col("turn") > 1, F.array(call_id(F.floor(F.col("turn") / 2))))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", call_id(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), depends.alias("depends_on"), F.col("turn").alias("position")
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"), F.col("turn").alias("position"))
+    return calls, results
+
+
+def op10_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_calls(*conversation_calls(_table(spark, sf_dir, "conversations")), TOOLS)
+
+
 QUERIES = {
     "op1_byte_network": op1_byte_network,
     "op2_vector_packing": op2_vector_packing,
     "op3_recompression": op3_recompression,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_suffix_automaton": op5_suffix_automaton,
     "op6_line_crf": op6_line_crf,
     "op7_weak_supervision": op7_weak_supervision,
     "op8_lsh_forest": op8_lsh_forest,
     "op9_bloom_lookup": op9_bloom_lookup,
+    "op10_tool_links": op10_tool_links,
 }
 
 ORACLES = {
@@ -117,4 +154,28 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM reach WHERE reach.x = d.doc_id), d.doc_id)) AS class_id,
        (SELECT count(*) FROM link WHERE link.x = d.doc_id) AS n_links
 FROM documents d""",
+    "op10_tool_links": r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, 'call_' || conv_id || '_' || turn AS call_id, list_extract(['search', 'summarise', 'translate'], CAST(turn % 3 + 1 AS BIGINT)) AS name
+                     FROM conversations WHERE role = 'user'),
+     r AS (SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, arg_min(text, turn) AS result, count(*) AS n_results
+           FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+     lev AS (SELECT c.conv_id, c.turn, 0 AS level FROM c LEFT JOIN c d ON d.conv_id = c.conv_id AND d.turn = c.turn // 2 AND c.turn > 1 WHERE d.turn IS NULL
+             UNION ALL SELECT c.conv_id, c.turn, level + 1 FROM lev JOIN c ON c.conv_id = lev.conv_id AND c.turn // 2 = lev.turn AND c.turn > 1),
+     e AS (SELECT c.*, level, result, n_results, list_sort(list_filter([
+             CASE WHEN c.turn > 1 AND NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.turn = c.turn // 2) THEN 'unknown dependency' END,
+             CASE WHEN c.turn % 5 = 4 THEN 'limit is not integer' END,
+             CASE WHEN c.name = 'translate' THEN 'missing to' END,
+             CASE WHEN c.text IS NULL THEN 'missing query' END], lambda x: x IS NOT NULL)) AS errors
+           FROM c JOIN lev USING (conv_id, turn) LEFT JOIN r USING (conv_id, call_id))
+SELECT conv_id, call_id, name, CAST(level AS INTEGER) AS level, turn AS position,
+       CASE WHEN len(errors) > 0 THEN 'invalid' WHEN n_results IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+       array_to_string(errors, ';') AS errors, coalesce(n_results, 0) AS n_results,
+       '{"arguments":{"limit":' || CASE WHEN turn % 5 = 4 THEN '"' || turn || '"' ELSE CAST(turn AS VARCHAR) END
+         || CASE WHEN text IS NULL THEN '' ELSE ',"query":' || CAST(to_json(text) AS VARCHAR) END || '},"call_id":"' || call_id || '","name":"' || name || '"'
+         || CASE WHEN result IS NULL THEN '' ELSE ',"result":' || CAST(to_json(result) AS VARCHAR) END || '}' AS json
+FROM e
+UNION ALL
+SELECT r.conv_id, r.call_id, NULL, NULL, NULL, 'orphan', '', r.n_results,
+       '{"call_id":"' || r.call_id || '"' || CASE WHEN r.result IS NULL THEN '' ELSE ',"result":' || CAST(to_json(r.result) AS VARCHAR) END || '}'
+FROM r ANTI JOIN c USING (conv_id, call_id)""",
 }
