@@ -345,6 +345,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat both id and text one stays; a class whose ids are all null keeps one row of each text.
     """
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    first = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates([id_col, text_col])
+    own = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    near = near_duplicates(docs.select(own.alias("doc_id"), F.col(text_col).alias("text")), **options)
+    first = near.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id.id").alias("id"), F.col("doc_id.h").alias("h"))
+    keys = ["keep_one_key_a", "keep_one_key_b"]
+    marked = lambda df, i, h: df.withColumns({keys[0]: F.xxhash64(i, h), keys[1]: F.xxhash64(F.lit(1), h, i)})
+    kept = marked(docs, F.col(id_col), F.xxhash64(text_col)).join(marked(first, F.col("id"), F.col("h")).select(*keys), keys, "left_semi")
+    return kept.dropDuplicates(keys).select(*docs.columns)
