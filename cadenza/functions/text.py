@@ -126,5 +126,9 @@ def release_decade(c: Column) -> Column:
 
 
 def utc_timestamp(c: Column) -> Column:
-    """Timestamp, or null when the text does not parse."""
-    return F.try_to_timestamp(c)
+    """Timestamp, or null when the text does not parse; text without a zone is UTC in every session."""
+    text = strip(c.cast("string"))
+    zoned = text.rlike(r"(?i)([0-9]{2}:[0-9]{2}.*([+-][0-9]{1,2}(:?[0-9]{2})?|z)|utc|gmt)$")
+    dated = text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")
+    whole = F.when(dated, F.concat(text, F.lit("T00:00:00Z"))).when(zoned, text).otherwise(F.concat(text, F.lit("Z")))
+    return F.try_to_timestamp(whole)

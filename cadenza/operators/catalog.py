@@ -10,8 +10,10 @@ from cadenza.functions.text import artist_token, strip, token_count
 from cadenza.plans.skew import salted_join
 
 
-def _max_of(df: DataFrame, column: str) -> Column:
-    return df.agg(F.greatest(F.coalesce(F.max(column), F.lit(0.0)), F.lit(1.0)).alias("m")).scalar()
+def _maxima(df: DataFrame, *columns: str) -> Column:
+    """The columns' maxima, at least 1, as one struct of one scan."""
+    top = [F.greatest(F.coalesce(F.max(c), F.lit(0.0)), F.lit(1.0)).alias(c) for c in columns]
+    return df.agg(F.struct(*top).alias("m")).scalar()
 
 
 def build_catalog(interactions: DataFrame) -> DataFrame:
@@ -37,8 +39,8 @@ def build_catalog(interactions: DataFrame) -> DataFrame:
     joined = salted_join(tracks, artists, "artist_name", spread=["track_id"]).withColumn(
         "title_token_count", token_count(F.col("track_name")).cast("double")
     )
-    titles = tracks.select(token_count(F.col("track_name")).cast("double").alias("n"))
-    popularity = F.col("popularity_count") / _max_of(tracks, "popularity_count")
+    top = _maxima(joined, "popularity_count", "artist_frequency", "artist_track_count", "title_token_count")
+    popularity = F.col("popularity_count") / top["popularity_count"]
     return joined.select(
         "track_id", "track_name", "artist_name",
         F.col("artist_name").alias("primary_artist_name"),
@@ -47,8 +49,8 @@ def build_catalog(interactions: DataFrame) -> DataFrame:
         "artist_frequency", "artist_track_count", "title_token_count",
         (popularity * 100.0).alias("popularity"),
         popularity.alias("catalog_popularity"),
-        (F.col("artist_frequency") / _max_of(artists, "artist_frequency")).alias("catalog_artist_frequency"),
-        (F.col("artist_track_count") / _max_of(artists, "artist_track_count")).alias("catalog_artist_track_count"),
-        (F.col("title_token_count") / _max_of(titles, "n")).alias("catalog_title_token_count"),
+        (F.col("artist_frequency") / top["artist_frequency"]).alias("catalog_artist_frequency"),
+        (F.col("artist_track_count") / top["artist_track_count"]).alias("catalog_artist_track_count"),
+        (F.col("title_token_count") / top["title_token_count"]).alias("catalog_title_token_count"),
         artist_token(F.col("artist_name")).alias("artist_genres"),
     )

@@ -138,7 +138,7 @@ def truncated_svd(
     *,
     dim: int = 16,
     oversample: int = 12,
-    max_rounds: int = 8,
+    max_rounds: int = 64,
     tolerance: float = 1e-6,
     seed: int = 42,
 ) -> DataFrame:
@@ -147,6 +147,8 @@ def truncated_svd(
     ``matrix`` is (row id, column id, value). Block power iteration with Rayleigh-Ritz (randomized
     SVD). The tall factor stays a DataFrame; the driver sees (dim + oversample) squared numbers per
     round. Each round is checkpointed in the session's shared folder, so a lost executor costs a round.
+    Rounds go on until the values that are kept change by less than ``tolerance``; it is an error if
+    ``max_rounds`` do not suffice. A matrix without cells has no vectors.
     """
     import numpy as np
 
@@ -174,7 +176,7 @@ def truncated_svd(
         return F.sqrt(-2.0 * F.ln(u[0])) * F.cos(u[1] * F.lit(2 * np.pi))
 
     q = ids.select("track_id", F.array(*[noise(i) for i in range(width)]).alias("q"))
-    last = None
+    last, change = None, np.inf
     for _ in range(max_rounds):
         y = multiply(multiply(q, "q"), "y").checkpoint()
         g = _inner(y, "y", "y", width)
@@ -184,9 +186,12 @@ def truncated_svd(
         order = np.argsort(-values)
         q = _times_matrix(y, "y", (vectors * whiten)[:, order], "q")
         top = np.maximum(values[order], 0.0)[:dim] ** 0.25
-        if last is not None and np.max(np.abs(top - last)) <= tolerance * max(top[0], 1e-300):
+        change = np.inf if last is None else np.max(np.abs(top - last)) / max(top[0], 1e-300)
+        if change <= tolerance:
             break
         last = top
+    else:
+        raise RuntimeError(f"singular values still change by {change:.2e} after {max_rounds} rounds")
     # Rayleigh-Ritz on the block: Qt A Q gives signed eigenvalues; singular values are their sizes.
     both = multiply(q, "q").join(q, "track_id")
     b = _inner(both, "q", "y", width)
@@ -208,6 +213,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
+def vocabulary_vectors(pairs: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """(track_id, vector) of every track with context; zeros where the decomposition has no row."""
+    words = pairs.select("track_id").distinct()
+    zeros = F.array_repeat(F.lit(0.0), size)
+    padded = F.when(F.size("vector") < size, F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("vector"))))
+    return words.join(vectors, "track_id", "left").select("track_id", F.coalesce(padded, "vector", zeros).alias("vector"))
+
+
 def similar_tracks(pairs: DataFrame, vectors: DataFrame, *, k: int = 10, tile_rows: int = 2048) -> DataFrame:
     """(track_id, similar_id, score, rank): 0.65 x direct context + 0.35 x embedding cosine, top k.
 
@@ -217,6 +230,8 @@ def similar_tracks(pairs: DataFrame, vectors: DataFrame, *, k: int = 10, tile_ro
     """
     from cadenza.operators.similarity import cosine_topk
 
+    size = vectors.agg(F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("n")).first()["n"]
+    vectors = vocabulary_vectors(pairs, vectors, size)
     direct = direct_context(pairs).where(F.col("track_id") != F.col("context_id"))
     left = vectors.withColumnRenamed("vector", "a")
     right = vectors.select(F.col("track_id").alias("context_id"), F.col("vector").alias("b"))
@@ -238,24 +253,27 @@ def similar_tracks(pairs: DataFrame, vectors: DataFrame, *, k: int = 10, tile_ro
     )
 
 
-def seed_context(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+def seed_context(pairs: DataFrame, seeds: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(user_id, track_id, score): direct context averaged over the user's contributing seeds.
 
-    Seeds outside the vocabulary or without context do not count in the average.
+    Seeds outside the vocabulary or without context do not count in the average. With ``candidates`` only
+    contexts that somebody asks for are expanded, and only asked (user, track) pairs come back.
     """
     direct = direct_context(pairs)
     lists = direct.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    if candidates is not None:
+        wanted = candidates.select(F.col("track_id").alias("context_id")).distinct()
+        direct = direct.join(wanted, "context_id", "left_semi")
     contributing = salted_join(seeds.select("user_id", "track_id"), lists, "track_id", spread=["user_id"], how="inner")
     counts = contributing.groupBy("user_id").agg(F.count(F.lit(1)).alias("seeds"))
-    # A track's context list can be long, so both join sides are spread: the list by its context id.
-    salts = 8
-    left = contributing.select("user_id", "track_id").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = direct.withColumn("s", F.pmod(F.xxhash64("context_id"), F.lit(salts)).cast("int"))
+    # A track may have many users and a long list: as an inner join, Spark can split both sides of a hot one.
     sums = (
-        left.join(right, ["track_id", "s"])
+        contributing.select("user_id", "track_id").join(direct, "track_id")
         .groupBy("user_id", F.col("context_id").alias("track_id"))
         .agg(F.sum("score").alias("total"))
     )
+    if candidates is not None:
+        sums = sums.join(candidates.select("user_id", "track_id").distinct(), ["user_id", "track_id"], "left_semi")
     joined = salted_join(sums, counts, "user_id", spread=["track_id"], how="inner")
     return joined.select("user_id", "track_id", (F.col("total") / F.col("seeds")).alias("score"))
 
@@ -265,12 +283,14 @@ def context_scores(
 ) -> DataFrame:
     """(user_id, track_id, score) of candidates: 0.65 x seed context + 0.35 x cosine to the mean seed vector.
 
-    Unknown candidates, and users without known seeds, score 0.
+    A vocabulary track without positive PPMI has a zero vector: its context counts, its cosine is 0.
+    Candidates outside the vocabulary, and users without known seeds, score 0.
     """
     from cadenza.operators.content import seed_profiles
 
+    vectors = vocabulary_vectors(pairs, vectors, size)
     profiles = seed_profiles(vectors.withColumnRenamed("vector", "features"), seeds, size)
-    direct = seed_context(pairs, seeds).withColumnRenamed("score", "direct")
+    direct = seed_context(pairs, seeds, candidates).withColumnRenamed("score", "direct")
     joined = salted_join(
         candidates.select("user_id", "track_id"), vectors, "track_id", spread=["user_id"]
     )

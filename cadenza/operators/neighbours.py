@@ -11,93 +11,79 @@ from cadenza.plans.sparse import LONG_ROW, longest_row, sparse_product
 from cadenza.plans.tiles import spread_rows
 
 NEIGHBOURS = 100
-# Users with a longer history take the tile plan; below it the pairs of a user stay linear in its rows.
-LONG_HISTORY = 512
-USERS_PER_BLOCK = 64
-ITEMS_PER_TILE = 512
+# Tracks of one piece of a history; a longer history is multiplied piece by piece.
+PIECE_TRACKS = 512
+# Products that a task holds before it adds up equal pairs and gives them out.
+HELD_PRODUCTS = 4_000_000
 
 
-def _tile_products(entries: DataFrame, users_per_block: int, items_per_tile: int) -> DataFrame:
-    """Partial sums of x[u,i]*x[u,j], i<j, for long histories.
+def _pair_sums(pieces: DataFrame, held: int) -> DataFrame:
+    """(i, j, s), i < j: partial sums of x[u,i] * x[u,j] over the pieces that a task reads.
 
-    A history is cut into item tiles and a block of users shares each pair of tiles, so one task holds
-    at most users_per_block x 2 x items_per_tile entries whatever the history length. The product sums
-    over the block's users before anything is emitted.
+    A row is one piece of a history, or two different pieces of the same one (``others``). Products of many
+    rows are added up inside the task, in a buffer of bounded size.
     """
-    item_type = entries.schema["track_id"].dataType.simpleString()
-    users = entries.agg(F.countDistinct("user_id").alias("n")).scalar()
-    items = entries.agg(F.countDistinct("track_id").alias("n")).scalar()
-    blocks = F.greatest(F.ceil(users / F.lit(users_per_block)), F.lit(1)).cast("int")
-    tiles = F.greatest(F.ceil(items / F.lit(items_per_tile)), F.lit(1)).cast("int")
-    packed = (
-        entries.withColumn("block", F.pmod(F.xxhash64("user_id"), blocks).cast("int"))
-        .withColumn("tile", F.pmod(F.xxhash64("track_id"), tiles).cast("int"))
-        .groupBy("block", "tile")
-        .agg(F.collect_list(F.struct("user_id", "track_id", "x")).alias("cells"))
-    )
-    left = packed.withColumn("other", F.explode(F.sequence(F.col("tile"), tiles - 1)))
-    right = packed.select("block", F.col("tile").alias("other"), F.col("cells").alias("right_cells"))
-    pairs = spread_rows(left.join(right, ["block", "other"]), "block", "tile", "other").select(
-        (F.col("tile") == F.col("other")).alias("diagonal"), "cells", "right_cells"
-    )
+    item_type = pieces.schema["cells"].dataType.elementType["track_id"].dataType.simpleString()
 
     def multiply(batches):
         import numpy as np
         import pyarrow as pa
 
-        def parts(cell):
-            v = cell.values
-            return (
-                v.field("user_id").to_numpy(zero_copy_only=False),
-                v.field("track_id"),
-                v.field("x").to_numpy(zero_copy_only=False),
-            )
-
-        def dense(users_at, count, tracks, x):
-            ids, codes = np.unique(tracks.to_numpy(zero_copy_only=False), return_inverse=True)
-            m = np.zeros((count, len(ids)))
-            m[users_at, codes] = x
-            return ids, m
+        def flat(column):
+            values = column.flatten()
+            size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            return values.field("track_id"), values.field("x").to_numpy(zero_copy_only=False), size
 
         for batch in batches:
-            for r in range(batch.num_rows):
-                lu, lt, lx = parts(batch.column("cells")[r])
-                ru, rt, rx = parts(batch.column("right_cells")[r])
-                known, at = np.unique(np.concatenate([lu, ru]), return_inverse=True)
-                l_ids, l = dense(at[: len(lu)], len(known), lt, lx)
-                r_ids, m = dense(at[len(lu):], len(known), rt, rx)
-                product = l.T @ m
-                if batch.column("diagonal")[r].as_py():
-                    product = np.triu(product, 1)
-                a, b = np.nonzero(product)
-                if not len(a):
-                    continue
-                i, j, s = l_ids[a], r_ids[b], product[a, b]
-                swap = i > j
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(i, type=lt.type), pa.array(j, type=lt.type), pa.array(s)], names=["i", "j", "s"]
-                )
-
-    return pairs.mapInArrow(multiply, f"i {item_type}, j {item_type}, s double")
+            if not batch.num_rows:
+                continue
+            lt, lx, ln = flat(batch.column("cells"))
+            rt, rx, rn = flat(batch.column("others"))
+            ids, code = np.unique(
+                np.concatenate([lt.to_numpy(zero_copy_only=False), rt.to_numpy(zero_copy_only=False)]), return_inverse=True
+            )
+            lc, rc = code[: len(lx)], code[len(lx):]
+            alone = np.repeat(rn == 0, ln)
+            at, row = np.arange(len(lx)), np.repeat(np.arange(len(ln)), ln)
+            l_end, r_start = np.cumsum(ln), np.cumsum(rn) - rn
+            # Each entry meets the later entries of its own piece, or all entries of the other piece.
+            count = np.where(alone, l_end[row] - at - 1, rn[row])
+            done = np.cumsum(count)
+            first = 0
+            while first < len(at):
+                base = done[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(done, base + held, "right")))
+                part = slice(first, last)
+                n = count[part]
+                a = np.repeat(at[part], n)
+                step = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+                own = alone[a]
+                b = np.where(own, a + 1 + step, r_start[row[a]] + step)
+                j = np.where(own, lc[np.minimum(b, len(lc) - 1)], rc[np.minimum(b, len(rc) - 1)] if len(rc) else 0)
+                y = np.where(own, lx[np.minimum(b, len(lx) - 1)], rx[np.minimum(b, len(rx) - 1)] if len(rx) else 0.0)
+                i = lc[a]
+                key = np.minimum(i, j) * len(ids) + np.maximum(i, j)
+                pair, inverse = np.unique(key, return_inverse=True)
+                total = np.bincount(inverse, weights=lx[a] * y, minlength=len(pair))
+                first = last
+                if len(pair):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[pair // len(ids)], type=lt.type), pa.array(ids[pair % len(ids)], type=lt.type), pa.array(total)],
+                        names=["i", "j", "s"],
+                    )
+
+    return pieces.mapInArrow(multiply, f"i {item_type}, j {item_type}, s double")
 
 
 def item_neighbours(
-    interactions: DataFrame,
-    *,
-    k: int = NEIGHBOURS,
-    long_history: int = LONG_HISTORY,
-    users_per_block: int = USERS_PER_BLOCK,
-    items_per_tile: int = ITEMS_PER_TILE,
-    long_row: int = LONG_ROW,
+    interactions: DataFrame, *, k: int = NEIGHBOURS, piece_tracks: int = PIECE_TRACKS, held: int = HELD_PRODUCTS
 ) -> DataFrame:
     """(track_id, neighbour_id, similarity): cosine of item columns, top k per track, exact.
 
-    A track's row links to its users, and every user brings the short list of its tracks, so a track is
-    summed and cut to its k best inside one task. Users with more than ``long_history`` tracks cannot
-    be such a list: their products come from bounded tiles, and the tracks they touch are added up and
-    ranked by Spark from both kinds of partial sums. The split changes the cost, never the result.
-    Strengths of zero carry no similarity.
+    One plan for all histories: a history is packed in pieces of about ``piece_tracks`` tracks, a task adds up
+    the products of the pieces (and pairs of pieces) that it reads, and Spark adds the partial sums of each
+    pair of tracks. Nothing is dropped before the whole sum is known; pairs whose sum is zero are no
+    neighbours, negative ones are. Strengths of zero carry no similarity.
     """
     rows = interactions.select("user_id", "track_id", F.col("interaction_strength").cast("double").alias("r"))
     rows = rows.where(F.col("r") != 0)
@@ -105,32 +91,21 @@ def item_neighbours(
     scaled = salted_join(rows, norms, "track_id", spread=["user_id"], how="inner").select(
         "user_id", "track_id", (F.col("r") / F.col("len")).alias("x")
     )
-    named = [F.col("row").alias("track_id"), F.col("col").alias("neighbour_id"), F.col("score").alias("similarity")]
-    most_users = longest_row(rows, "track_id")
-
-    def packed(users: DataFrame) -> tuple[DataFrame, DataFrame]:
-        lists = users.groupBy(F.col("user_id").alias("link")).agg(
-            F.collect_list(F.struct(F.col("track_id").alias("col"), F.col("x").alias("v"))).alias("cells")
-        )
-        return lists, users.select(F.col("track_id").alias("row"), F.col("user_id").alias("link"), F.col("x").alias("weight"))
-
-    if longest_row(rows, "user_id") <= long_history:
-        lists, entries = packed(scaled)
-        return sparse_product(
-            entries, lists, k=k, exclude_self=True, long_row=long_row, longest=most_users
-        ).select(*named)
-
-    long_users = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long_history)
-    short = scaled.join(long_users, "user_id", "left_anti")
-    long = scaled.join(long_users, "user_id", "left_semi")
-    lists, entries = packed(short)
-    touched = long.select(F.col("track_id").alias("row")).distinct()
-    alone = entries.join(touched, "row", "left_anti")
-    shared = entries.join(touched, "row", "left_semi")
-
-    best = sparse_product(alone, lists, k=k, exclude_self=True, long_row=long_row, longest=most_users).select(*named)
-    partial = sparse_product(shared, lists, k=None, exclude_self=True, long_row=long_row, longest=most_users).select(*named)
-    tiles = _tile_products(long, users_per_block, items_per_tile).select(
+    size = rows.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece_tracks)).cast("int").alias("pieces"))
+    placed = salted_join(scaled, size, "user_id", spread=["track_id"], how="inner").withColumn(
+        "piece", F.pmod(F.xxhash64("track_id"), F.col("pieces")).cast("int")
+    )
+    packed = placed.groupBy("user_id", "pieces", "piece").agg(F.collect_list(F.struct("track_id", "x")).alias("cells"))
+    none = F.lit(None).cast(packed.schema["cells"].dataType)
+    alone = packed.select("cells", none.alias("others"))
+    long = packed.where(F.col("pieces") > 1)
+    left = long.where(F.col("piece") < F.col("pieces") - 1).withColumn(
+        "other", F.explode(F.sequence(F.col("piece") + 1, F.col("pieces") - 1))
+    )
+    right = long.select("user_id", F.col("piece").alias("other"), F.col("cells").alias("others"))
+    crossed = spread_rows(left.join(right, ["user_id", "other"]), "user_id", "piece", "other").select("cells", "others")
+    sums = _pair_sums(alone, held).unionByName(_pair_sums(crossed, held)).groupBy("i", "j").agg(F.sum("s").alias("s"))
+    both = sums.where(F.col("s") != 0).select(
         F.explode(
             F.array(
                 F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
@@ -138,11 +113,10 @@ def item_neighbours(
             )
         ).alias("p"),
         "s",
-    ).select(F.col("p.a").alias("track_id"), F.col("p.b").alias("neighbour_id"), F.col("s").alias("similarity"))
-    sums = partial.unionByName(tiles).groupBy("track_id", "neighbour_id").agg(F.sum("similarity").alias("similarity"))
+    )
+    named = both.select(F.col("p.a").alias("track_id"), F.col("p.b").alias("neighbour_id"), F.col("s").alias("similarity"))
     order = [rank_key(F.col("similarity")).desc(), F.col("neighbour_id")]
-    mixed = top_k(sums.where(F.col("similarity") > 0), ["track_id"], order, k)
-    return best.unionByName(mixed.select("track_id", "neighbour_id", "similarity"))
+    return top_k(named, ["track_id"], order, k).select("track_id", "neighbour_id", "similarity")
 
 
 def _product(interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | None, k: int | None, long_row: int) -> DataFrame:

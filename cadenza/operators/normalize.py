@@ -138,12 +138,15 @@ def track_level(
     playlists: DataFrame | None = None,
     artists: DataFrame | None = None,
 ) -> DataFrame:
-    """Curated track table: metadata (else audio) + audio + playlist counts + primary-artist summary."""
+    """Curated track table: metadata (audio when that is absent or empty) + audio + playlist counts + primary-artist summary."""
     if metadata is None and audio is None:
         raise ValueError("track_level needs track metadata or audio features")
     tracks = metadata if metadata is not None else audio
     if metadata is not None and audio is not None:
         tracks = tracks.join(audio.drop("duration_ms"), "track_id", "left")
+        # A payload that is not there is an empty table; the audio features are the base then.
+        rows = metadata.agg(F.count(F.lit(1)).alias("n")).scalar()
+        tracks = tracks.unionByName(audio.where(rows == 0), allowMissingColumns=True)
     if "track_name" not in tracks.columns:
         tracks = tracks.withColumn("track_name", F.col("name") if "name" in tracks.columns else F.lit(""))
     for source, primary in (("artist_ids", "primary_artist_id"), ("artist_names", "primary_artist_name")):

@@ -135,7 +135,7 @@ def sequence_playlist(
                 out["pos"].append(np.full(len(live), step + 1))
                 for key, m in (("m", mood_fit), ("d", diversity), ("t", smooth), ("s", score)):
                     out[key].append(m[live, chosen])
-                left[live, chosen] = False
+                left &= ids != ids[every, pick][:, None]
                 distance += np.abs(spread - spread[every, pick][:, None, :]).mean(axis=2)
             merged = {key: np.concatenate(v) for key, v in out.items()}
             yield pa.RecordBatch.from_arrays(

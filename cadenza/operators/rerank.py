@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from cadenza.functions.columns import labels_where, rank_key, total, try_double
+from cadenza.functions.columns import RANK_DIGITS, labels_where, rank_key, total, try_double
 from cadenza.functions.text import genre_labels, is_blank, strip
 from cadenza.operators.hybrid import min_max
 from cadenza.operators.mood import mood_score, rule_mood_match
@@ -186,7 +186,7 @@ def rerank_diversity(
             lists_col = batch.column("c")
             cells = lists_col.flatten()
             sizes = np.diff(lists_col.offsets.to_numpy())
-            if not len(cells):
+            if not len(cells) or k is not None and k <= 0:
                 continue
             n_users, width = len(sizes), int(sizes.max())
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -222,14 +222,14 @@ def rerank_diversity(
                 alternative = (left & ~over).any(axis=1)
                 allowed = left & ~(over & alternative[:, None])
                 value = np.where(allowed, static + src_bonus * fresh - pen * repeats, -np.inf)
-                best = value.max(axis=1)
-                tied = allowed & (value == best[:, None])
+                key = np.round(value, RANK_DIGITS)
+                tied = allowed & (key == key.max(axis=1)[:, None])
                 pick = np.where(tied, ids, np.iinfo(np.int64).max).argmin(axis=1)
                 live = every[active]
                 out_user.append(live)
                 out_cell.append(at[live, pick[live]])
                 out_rank.append(np.full(len(live), step + 1))
-                out_score.append(best[live])
+                out_score.append(value[live, pick[live]])
                 left[live, pick[live]] = False
                 chosen_artist = np.where(active, artist[every, pick], -1)
                 chosen_source = np.where(active, src[every, pick], -1)

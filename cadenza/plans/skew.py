@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SALTS = 8
-
-
 def salted_join(
     facts: DataFrame,
     per_key: DataFrame,
@@ -18,15 +15,18 @@ def salted_join(
     *,
     spread: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    salts: int = 1,
 ) -> DataFrame:
-    """Join facts with a table that has ONE row per key, spreading each key over ``salts`` tasks.
+    """Join facts with a table that has ONE row per key; a hot key does not stay in one task.
 
-    ``spread`` are fact columns (not the key) whose hash picks the salt. The keyed side is repeated
-    ``salts`` times, the facts are shuffled once and never repeated. A keyed side below Spark's own
-    broadcast threshold is still broadcast, because size statistics decide that.
+    By default Spark splits what is hot: adaptive execution measures the shuffled partitions and cuts the
+    ones above its skew thresholds, so keys of ordinary weight cost nothing. ``salts`` above 1 spreads every
+    key over that many tasks by the hash of the fact columns ``spread`` and repeats the keyed side; it is for
+    sessions without adaptive execution.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    if salts <= 1:
+        return facts.join(per_key, keys, how)
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -27,9 +27,15 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the session (``spark.checkpoint.dir``); fall back only when unset."""
+    """Use the session's shared folder (``spark.checkpoint.dir``).
+
+    Unset, it is an error on a cluster, where a folder of one machine is no use to the others; a local
+    session, whose executors are this process, gets a temporary folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cadenza-ckpt-"))

@@ -11,7 +11,7 @@ from cadenza.operators.content import content_topk
 from cadenza.operators.features import content_features
 from cadenza.operators.hybrid import exploration_weights
 from cadenza.operators.neighbours import cf_topk, item_neighbours
-from cadenza.operators.similarity import cosine_topk
+from cadenza.operators.similarity import list_pair_cosine
 from registry import views as V
 from registry.blend import WEIGHTS, hybrid_views
 from registry.sql import dot, view, with_views
@@ -53,8 +53,7 @@ def list_quality(spark, d):
     i, t = V.interactions(spark, d), V.curated(spark, d)
     features, names = content_features(t)
     ranked = content_topk(features, i, len(names), k=5)
-    sims = cosine_topk(features, k=50)
-    div = E.list_diversity(ranked, sims)
+    div = E.list_diversity(ranked, list_pair_cosine(ranked, features))
     nov = E.list_novelty(ranked, E.popularity_of(i))
     return div.join(nov, "user_id").select(
         "user_id", *[F.round(c, 6).alias(c) for c in ("diversity", "novelty", "popularity_bias")]
@@ -83,8 +82,14 @@ def benchmark_all(spark, d):
 
 
 def benchmark_strength(spark, d):
-    """Eight models, holdout by strength, k = 3, with the reranked model."""
-    return _benchmark(spark, d, [*ALL_MODELS, RERANKED], k=3, min_interactions=2, by="strength", als_iterations=6)
+    """Eight models over the whole catalog, holdout by strength, k = 3, with the reranked model."""
+    return _benchmark(spark, d, [*ALL_MODELS, RERANKED], k=3, min_interactions=2, by="strength", als_iterations=6, pool_size=None)
+
+
+def benchmark_strength_core(spark, d):
+    """The three models of the strength benchmark that SQL can state, over the whole catalog."""
+    out = _benchmark(spark, d, CORE_MODELS, k=3, min_interactions=2, by="strength", pool_size=None)
+    return out.select("model", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")], "evaluated_users")
 
 
 def weight_tuning(spark, d):
@@ -124,40 +129,52 @@ def cf_views(prefix: str, source: str) -> None:
 
 
 view("v_fit", "SELECT * FROM v_train WHERE track_id IN (SELECT track_id FROM v_pool)")
-cf_views("v_e_", "v_fit")
-view("v_e_profile", "SELECT user_id, list(z ORDER BY pos) AS v FROM (SELECT user_id, pos, avg(z) AS z FROM v_train JOIN v_z USING (track_id) GROUP BY 1, 2) GROUP BY 1")
-view("v_e_unit", f"SELECT user_id, CASE WHEN {dot('v', 'v')} > 0 THEN [x / sqrt({dot('v', 'v')}) for x in v] ELSE v END AS u FROM v_e_profile")
-view("v_e_cand", """
-  SELECT u.user_id, p.track_id FROM (SELECT DISTINCT user_id FROM v_test) u CROSS JOIN v_pool p
-  WHERE NOT EXISTS (SELECT 1 FROM v_train i WHERE i.user_id = u.user_id AND i.track_id = p.track_id)
-  UNION SELECT user_id, track_id FROM v_test
-""")
-view("v_e_comp", f"""
-  SELECT c.user_id, c.track_id, f.score AS cf, CASE WHEN {dot('pu.u', 'tu.u')} > 0 THEN {dot('pu.u', 'tu.u')} END AS ct,
-         t.popularity / 100.0::DOUBLE AS pp, 1.0::DOUBLE - t.popularity / 100.0::DOUBLE AS nv
-  FROM v_e_cand c JOIN v_tracks t USING (track_id) JOIN v_e_unit pu USING (user_id) JOIN v_unit tu USING (track_id)
-  LEFT JOIN v_e_cf f USING (user_id, track_id)
-""")
-hybrid_views("v_e_", "v_e_comp", WEIGHTS)
-view("v_e_lists", """
-  SELECT 'content_only' AS model, user_id, track_id, ct AS score FROM v_e_comp WHERE ct > 0
-  UNION ALL SELECT 'collaborative_only', user_id, track_id, cf FROM v_e_comp WHERE cf > 0
-  UNION ALL SELECT 'hybrid', user_id, track_id, score FROM v_e_hybrid
-""")
-view("v_e_ranked", """
-  SELECT model, user_id, track_id, row_number() OVER (PARTITION BY model, user_id ORDER BY round(score, 9) DESC, track_id) AS rank
-  FROM v_e_lists QUALIFY rank <= 10
-""")
-view("v_e_metrics", """
-  SELECT m.model, u.user_id, coalesce(avg(CASE WHEN t.track_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) FILTER (r.rank IS NOT NULL), 0.0) AS p,
-         cast(count(t.track_id) AS DOUBLE) AS r, sum(CASE WHEN t.track_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / log2(r.rank + 1.0::DOUBLE) END) AS g
-  FROM (SELECT DISTINCT model FROM v_e_lists) m CROSS JOIN (SELECT DISTINCT user_id FROM v_test) u
-  LEFT JOIN v_e_ranked r ON r.model = m.model AND r.user_id = u.user_id
-  LEFT JOIN v_test t ON t.user_id = r.user_id AND t.track_id = r.track_id GROUP BY 1, 2
+def benchmark_views(prefix: str, train: str, test: str, fit: str, pool: str, k: int) -> None:
+    """Views of the three benchmark models: candidates, components, ranked lists, metrics per user."""
+    cf_views(prefix, fit)
+    view(f"{prefix}profile", f"SELECT user_id, list(z ORDER BY pos) AS v FROM (SELECT user_id, pos, avg(z) AS z FROM {train} JOIN v_z USING (track_id) GROUP BY 1, 2) GROUP BY 1")
+    view(f"{prefix}unit", f"SELECT user_id, CASE WHEN {dot('v', 'v')} > 0 THEN [x / sqrt({dot('v', 'v')}) for x in v] ELSE v END AS u FROM {prefix}profile")
+    view(f"{prefix}cand", f"""
+      SELECT u.user_id, p.track_id FROM (SELECT DISTINCT user_id FROM {test}) u CROSS JOIN {pool} p
+      WHERE NOT EXISTS (SELECT 1 FROM {train} i WHERE i.user_id = u.user_id AND i.track_id = p.track_id)
+      UNION SELECT user_id, track_id FROM {test}
+    """)
+    view(f"{prefix}comp", f"""
+      SELECT c.user_id, c.track_id, f.score AS cf, CASE WHEN {dot('pu.u', 'tu.u')} > 0 THEN {dot('pu.u', 'tu.u')} END AS ct,
+             t.popularity / 100.0::DOUBLE AS pp, 1.0::DOUBLE - t.popularity / 100.0::DOUBLE AS nv
+      FROM {prefix}cand c JOIN v_tracks t USING (track_id) JOIN {prefix}unit pu USING (user_id) JOIN v_unit tu USING (track_id)
+      LEFT JOIN {prefix}cf f USING (user_id, track_id)
+    """)
+    hybrid_views(prefix, f"{prefix}comp", WEIGHTS)
+    view(f"{prefix}lists", f"""
+      SELECT 'content_only' AS model, user_id, track_id, ct AS score FROM {prefix}comp WHERE ct > 0
+      UNION ALL SELECT 'collaborative_only', user_id, track_id, cf FROM {prefix}comp WHERE cf > 0
+      UNION ALL SELECT 'hybrid', user_id, track_id, score FROM {prefix}hybrid
+    """)
+    view(f"{prefix}ranked", f"""
+      SELECT model, user_id, track_id, row_number() OVER (PARTITION BY model, user_id ORDER BY round(score, 9) DESC, track_id) AS rank
+      FROM {prefix}lists QUALIFY rank <= {k}
+    """)
+    view(f"{prefix}metrics", f"""
+      SELECT m.model, u.user_id, coalesce(avg(CASE WHEN t.track_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) FILTER (r.rank IS NOT NULL), 0.0) AS p,
+             cast(count(t.track_id) AS DOUBLE) AS r, sum(CASE WHEN t.track_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / log2(r.rank + 1.0::DOUBLE) END) AS g
+      FROM (SELECT DISTINCT model FROM {prefix}lists) m CROSS JOIN (SELECT DISTINCT user_id FROM {test}) u
+      LEFT JOIN {prefix}ranked r ON r.model = m.model AND r.user_id = u.user_id
+      LEFT JOIN {test} t ON t.user_id = r.user_id AND t.track_id = r.track_id GROUP BY 1, 2
+    """)
+
+
+benchmark_views("v_e_", "v_train", "v_test", "v_fit", "v_pool", 10)
+view("v_split_s", """
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY interaction_strength DESC, track_id) AS place,
+         count(*) OVER (PARTITION BY user_id) AS n FROM v_interactions QUALIFY n >= 2
 """)
+view("v_train_s", "SELECT user_id, track_id, interaction_strength FROM v_split_s WHERE place > 1")
+view("v_test_s", "SELECT user_id, track_id FROM v_split_s WHERE place = 1")
+benchmark_views("v_es_", "v_train_s", "v_test_s", "v_train_s", "v_tracks", 3)
 CORE_SQL = """
   SELECT model, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(g), 6) AS ndcg, count(*) AS evaluated_users
-  FROM v_e_metrics GROUP BY 1
+  FROM {prefix}metrics GROUP BY 1
 """
 view("v_split3", """
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_timestamp DESC NULLS LAST, interaction_strength DESC, track_id) AS place,
@@ -184,9 +201,8 @@ METRICS_SQL = """
 """
 QUALITY_SQL = f"""
   , r AS (SELECT user_id, track_id FROM v_content_top WHERE rank <= 5),
-  sim AS (SELECT a.track_id AS x, b.track_id AS y, {dot('a.u', 'b.u')} AS s FROM v_unit a JOIN v_unit b ON a.track_id <> b.track_id
-          QUALIFY row_number() OVER (PARTITION BY a.track_id ORDER BY round({dot('a.u', 'b.u')}, 9) DESC, b.track_id) <= 50),
-  known AS (SELECT least(x, y) AS x, greatest(x, y) AS y, max(s) AS s FROM sim GROUP BY 1, 2),
+  known AS (SELECT a.track_id AS x, b.track_id AS y, {dot('a.u', 'b.u')} AS s FROM v_unit a JOIN v_unit b ON a.track_id < b.track_id
+            WHERE (a.track_id, b.track_id) IN (SELECT (p.track_id, q.track_id) FROM r p JOIN r q ON p.user_id = q.user_id)),
   dv AS (SELECT p.user_id, greatest(0.0, 1.0 - avg(coalesce(s, 0.0))) AS diversity
          FROM (SELECT a.user_id, a.track_id AS x, b.track_id AS y FROM r a JOIN r b ON a.user_id = b.user_id AND a.track_id < b.track_id) p
          LEFT JOIN known USING (x, y) GROUP BY 1),
@@ -209,7 +225,7 @@ QUERIES = {
     "holdout_time": holdout_time, "holdout_strength": holdout_strength, "candidate_pool": candidate_pool,
     "train_pool": train_pool, "ranking_metrics": ranking_metrics, "list_quality": list_quality,
     "catalog_coverage": coverage, "benchmark_core": benchmark_core, "benchmark_all": benchmark_all,
-    "benchmark_strength": benchmark_strength, "weight_tuning": weight_tuning, "model_verdicts": model_verdicts,
+    "benchmark_strength": benchmark_strength, "benchmark_strength_core": benchmark_strength_core, "weight_tuning": weight_tuning, "model_verdicts": model_verdicts,
 }
 ORACLES = {
     "holdout_time": with_views("SELECT user_id, track_id, place <= 1 AS is_test FROM v_split"),
@@ -224,7 +240,8 @@ ORACLES = {
     "catalog_coverage": with_views("""
       SELECT round(count(DISTINCT track_id) / cast((SELECT count(*) FROM part) AS DOUBLE), 6) AS coverage FROM (
         SELECT track_id FROM v_cf QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, track_id) <= 10)"""),
-    "benchmark_core": with_views(CORE_SQL),
+    "benchmark_core": with_views(CORE_SQL.format(prefix="v_e_")),
+    "benchmark_strength_core": with_views(CORE_SQL.format(prefix="v_es_")),
     "weight_tuning": with_views("""
       , m AS (SELECT model, avg(p) AS precision, avg(r) AS recall, avg(g) AS ndcg FROM v_e_metrics GROUP BY 1),
       c(config, model, hybrid_weight, als_weight, embedding_weight, diversity_weight, novelty_weight) AS (VALUES

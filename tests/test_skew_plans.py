@@ -38,17 +38,18 @@ def _brute_neighbours(rows, k):
                 if a != b:
                     sims[a][b] += items[a] * items[b]
     return {
-        a: sorted(((b, s) for b, s in near.items() if s > 0), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+        a: sorted(((b, s) for b, s in near.items() if s != 0), key=lambda x: (-round(x[1], 9), x[0]))[:k]
         for a, near in sims.items()
     }
 
 
-@pytest.mark.parametrize("long_history,long_row", [(512, 4096), (5, 4096), (5, 3), (512, 2)])
-def test_item_neighbours_every_path(spark, long_history, long_row):
-    rows = _hot_interactions()
+@pytest.mark.parametrize("piece_tracks,held", [(512, 4_000_000), (5, 4_000_000), (5, 10), (1, 7)])
+@pytest.mark.parametrize("signs", [(1,), (1, -1)])
+def test_item_neighbours_of_pieces(spark, piece_tracks, held, signs):
+    rows = {key: v * signs[n % len(signs)] for n, (key, v) in enumerate(_hot_interactions().items())}
     df = spark.createDataFrame([(u, i, float(v)) for (u, i), v in rows.items()], "user_id string, track_id long, interaction_strength double")
     got = defaultdict(list)
-    out = item_neighbours(df, k=6, long_history=long_history, users_per_block=2, items_per_tile=7, long_row=long_row)
+    out = item_neighbours(df, k=6, piece_tracks=piece_tracks, held=held)
     for r in out.collect():
         got[r["track_id"]].append((r["neighbour_id"], r["similarity"]))
     want = _brute_neighbours(rows, 6)
@@ -134,8 +135,29 @@ def test_dense_index_and_salted_join(spark):
     df = spark.createDataFrame([(f"k{i % 37}", i) for i in range(200)], "k string, v int")
     idx = dense_index(df, "k", buckets=8)
     assert sorted(r["idx"] for r in idx.collect()) == list(range(37))
-    joined = salted_join(df, idx, "k", spread=["v"])
-    assert joined.count() == 200 and joined.where("idx IS NULL").count() == 0
+    for salts in (1, 5):
+        joined = salted_join(df, idx, "k", spread=["v"], salts=salts)
+        assert joined.count() == 200 and joined.where("idx IS NULL").count() == 0
+
+
+def test_a_hot_key_is_split_by_its_measured_size(spark):
+    """One key holds a third of the rows; with small thresholds no task of the join gets them all."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        facts = spark.range(0, 90_000, 1, 8).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "sha2(cast(id AS string), 256) AS v")
+        keys = facts.select("k").distinct().selectExpr("k", "k AS w")
+        sizes = salted_join(facts, keys, "k", spread=["v"], how="inner").selectExpr("spark_partition_id() AS p", "w").groupBy("p").count().collect()
+        assert sum(r["count"] for r in sizes) == 90_000 and max(r["count"] for r in sizes) < 15_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_sequences_from_playlist_positions(spark):
