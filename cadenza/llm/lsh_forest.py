@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import arrow_schema, plain, slices, stage
 from cadenza.llm.decontaminate import words
-from cadenza.llm.substrings import _mix, _WordNames
+from cadenza.llm.substrings import KEPT_WORDS, _mix, _WordNames
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -46,7 +46,7 @@ def prefix_depth(threshold: float, trees: int, longest: int, recall: float) -> i
 
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct names of the ``size``-word shingles of each text; fewer words are one shingle."""
-    if len(_names) > 800_000:
+    if len(_names) > KEPT_WORDS:
         _names.clear()
     out = []
     for t in texts:
@@ -130,6 +130,7 @@ def _sign(rows: DataFrame, trees: int, depth: int) -> DataFrame:
                 [part.column("id"), *(pa.array(c, f.type) for c, f in zip((node, [len(s) for s in sets], prefixes, signature), list(schema)[1:]))],
                 schema=schema,
             )
+        _names.clear()
 
     return rows.mapInArrow(run, ddl)
 
@@ -258,6 +259,7 @@ def _compare(threshold: float):
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                 out = []
+        _names.clear()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 

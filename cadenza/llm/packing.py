@@ -35,7 +35,7 @@ class ChunkTokenizer:
     other chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, *, cached: int = 1_000_000, longest: int = 64) -> None:
+    def __init__(self, path: str, *, cached: int = 600_000, longest: int = 64) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -81,6 +81,11 @@ class ChunkTokenizer:
                 return text
         return text.lower()
 
+    def forget(self) -> None:
+        """Give the cached pieces back, so that an idle worker process holds the vocabulary only."""
+        self.chunks.clear()
+        self.pieces.clear()
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         for cache in (self.chunks, self.pieces):
             if len(cache) > self.cached:
@@ -223,6 +228,7 @@ def pack_documents(
             if len(ready) > 2000:
                 yield batch(ready)
                 ready = []
+        encode.forget()
         ready += packer.drain()
         if ready:
             yield batch(ready)

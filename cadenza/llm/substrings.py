@@ -60,11 +60,13 @@ class _WordNames(dict):
 
 
 _names = _WordNames()
+#: Words whose names a worker process keeps while a task runs.
+KEPT_WORDS = 300_000
 
 
 def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Names of all words, a 0 after each text; and the number of words of each text."""
-    if len(_names) > 800_000:
+    if len(_names) > KEPT_WORDS:
         _names.clear()
     parts, counts, end = [], np.zeros(len(texts), np.int64), np.zeros(1, _U)
     for k, t in enumerate(texts):
@@ -262,6 +264,7 @@ def _send_anchors(parts: int):
                 rows = [{"part": p, "batch": x["batch"], "names": _pack(distinct[a:b], 5), "more": None} for p, a, b in _runs(distinct >> _U(40))]
                 if rows:
                     yield _rows(schema, rows)
+        _names.clear()
 
     return run
 
@@ -312,6 +315,7 @@ def _send_windows(parts: int):
                 ]
                 if rows:
                     yield _rows(schema, rows)
+        _names.clear()
 
     return run
 
@@ -367,6 +371,7 @@ def _remove(parts: int):
                         [pa.array(x["ids"][s:e], pa.int64()), pa.array(counts[s:e]), pa.array(n_removed[s:e], pa.int64()), pa.array(kept[s:e], pa.binary()).cast(pa.string())],
                         schema=schema,
                     )
+        _names.clear()
 
     return run
 
