@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from cadenza.functions.columns import dot, try_double, unit
 from cadenza.functions.text import (
-    first_non_blank, genre_terms, is_blank, looks_like_catalog_id, name_artist_key, split_list, strip,
+    first_non_blank, first_token, genre_terms, is_blank, looks_like_catalog_id, name_artist_key, split_list, strip,
 )
 from cadenza.plans.skew import salted_join, top_k
 
@@ -112,10 +112,12 @@ def expand_candidates(recent: DataFrame, catalog: DataFrame) -> DataFrame:
     titles = recent_titles(recent, limit=RECENT_TRACKS)
     genres = recent_genres(recent, limit=GENRES)
     by_title = catalog.select(
-        "*", F.lower(strip(F.col("track_name"))).alias("title"), F.lower(strip(F.col("artist_name"))).alias("artist")
+        "*", F.lower(strip(F.col("track_name"))).alias("title"), F.lower(first_token(F.col("artist_name"))).alias("artist")
     )
     by_genre = catalog.withColumn("genre", F.explode(genre_terms(F.col("artist_genres"))))
-    by_artist = _best_per_key(catalog, ["artist_name"], max(TOP_PER_ARTIST, MATCHES_PER_ARTIST))
+    # A track counts for each of its artists; recent artists are single names.
+    credited = catalog.withColumn("credit", F.explode(F.array_distinct(split_list(F.col("artist_name")))))
+    by_artist = _best_per_key(credited, ["credit"], max(TOP_PER_ARTIST, MATCHES_PER_ARTIST)).withColumnRenamed("credit", "artist_name")
     parts = [
         _expand(artists, by_artist, ["artist_name"], {0: TOP_PER_ARTIST, 1: MATCHES_PER_ARTIST}),
         _expand(titles, _best_per_key(by_title, ["title", "artist"], MATCHES_PER_TRACK), ["title", "artist"], {2: MATCHES_PER_TRACK}),
@@ -130,10 +132,10 @@ def expand_candidates(recent: DataFrame, catalog: DataFrame) -> DataFrame:
 def dedupe_candidates(raw: DataFrame, *, limit: int = MAX_CANDIDATES) -> DataFrame:
     """(user_id, track_id, candidate_pos, candidate_sources): first arrival wins, labels of all copies kept.
 
-    Copies share an id or a name/artist key. One id has one key, so grouping by the key finds both.
+    Copies share an id or a key of name and first artist. One id has one key, so grouping by the key finds both.
     """
     labels = F.array(*[F.lit(x) for x in SOURCE_LABELS])
-    keyed = raw.withColumn("key", name_artist_key(F.col("track_id"), F.col("track_name"), F.col("artist_name"))).withColumn(
+    keyed = raw.withColumn("key", name_artist_key(F.col("track_id"), F.col("track_name"), first_token(F.col("artist_name")))).withColumn(
         "at", F.struct("source", "value_pos", "rank", "track_id")
     )
     # Map-side distinct: one arrival per (user, key, track, source) survives, at most a few dozen per user.

@@ -60,12 +60,13 @@ def pool_unseen(spark, d):
 
 
 def history(spark, d):
-    return user_history(V.seeds(spark, d), V.interactions(spark, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("tracks"))
+    """Seeds from the event plays, interactions from the orders: neither holds the other."""
+    return user_history(V.event_plays(spark, d), V.interactions(spark, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("tracks"))
 
 
 def universe(spark, d):
-    t = V.tracks(spark, d)
-    return candidate_universe(V.interactions(spark, d), t, priors(t))
+    """Tracks of the event plays, of the orders and of the catalog."""
+    return candidate_universe(V.event_plays(spark, d), V.interactions(spark, d), priors(V.tracks(spark, d)))
 
 
 view("v_cand", """
@@ -128,6 +129,7 @@ ORACLES = {
       FROM b QUALIFY rank <= 10""").replace("\n,", ",", 1),
     "pool_candidates": with_views("""
       SELECT user_id, count(*) AS candidates, cast(sum(track_id) AS BIGINT) AS checksum FROM v_cand GROUP BY 1"""),
-    "user_history": with_views("SELECT user_id, count(*) AS tracks FROM v_interactions GROUP BY 1"),
-    "candidate_universe": "SELECT p_partkey AS track_id FROM part",
+    "user_history": with_views("""
+      SELECT user_id, count(*) AS tracks FROM (SELECT user_id, track_id FROM v_event_plays UNION SELECT user_id, track_id FROM v_interactions) GROUP BY 1"""),
+    "candidate_universe": with_views("SELECT track_id FROM v_event_plays UNION SELECT l_partkey FROM lineitem UNION SELECT p_partkey FROM part"),
 }

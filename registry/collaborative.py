@@ -46,6 +46,18 @@ def neighbours(spark, d):
     )
 
 
+def _with_collector(spark, d):
+    """The interactions and one more listener who holds every track of the catalog."""
+    part = V.table(spark, d, "part").select(
+        F.lit(0).cast("long").alias("user_id"), F.col("p_partkey").alias("track_id"), F.col("p_size").cast("double").alias("interaction_strength")
+    )
+    return V.interactions(spark, d).select("user_id", "track_id", "interaction_strength").unionByName(part)
+
+
+def neighbours_heavy(spark, d):
+    return item_neighbours(_with_collector(spark, d)).select("track_id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
+
+
 def cf_ranked(spark, d):
     i = V.interactions(spark, d)
     top = cf_topk(i, item_neighbours(i), k=10)
@@ -110,7 +122,7 @@ def context_candidates(spark, d):
     plays = V.event_plays(spark, d)
     seeds = plays.select("user_id", "track_id").distinct()
     pairs = _pairs(spark, d)
-    candidates = seeds  # every known (user, track) pair is scored
+    candidates = V.interactions(spark, d)  # pairs of the orders, most of them unknown to the plays
     return C.context_scores(pairs, C.truncated_svd(C.ppmi(pairs), dim=8), seeds, candidates, 8)
 
 
@@ -123,7 +135,8 @@ def als_top(spark, d):
 def als_pairs(spark, d):
     i = V.interactions(spark, d)
     users, tracks = fit_factors(i)
-    return factor_scores(users, tracks, i)
+    unseen = cf_topk(i, item_neighbours(i), k=10)
+    return factor_scores(users, tracks, unseen)
 
 
 _CF_TOP = """
@@ -132,13 +145,21 @@ _CF_TOP = """
   FROM v_cf {where} QUALIFY rank <= 10
 """
 QUERIES = {
-    "item_neighbours": neighbours, "cf_topk": cf_ranked, "cf_pool_topk": cf_pool, "sequences": sequences,
+    "item_neighbours": neighbours, "item_neighbours_heavy": neighbours_heavy, "cf_topk": cf_ranked, "cf_pool_topk": cf_pool, "sequences": sequences,
     "turn_sequences": turn_sequences, "common_sequences": common_sequences, "cooccurrence": cooccurrence, "ppmi": ppmi,
     "context_direct": context_direct, "context_seeds": context_seeds, "context_similar": context_similar,
     "context_candidates": context_candidates, "als_topk": als_top, "als_scores": als_pairs,
 }
 ORACLES = {
     "item_neighbours": with_views("SELECT track_id, neighbour_id, round(similarity, 6) AS similarity FROM v_neighbours"),
+    "item_neighbours_heavy": with_views("""
+      , h AS (SELECT user_id, track_id, interaction_strength FROM v_interactions UNION ALL SELECT 0, p_partkey, cast(p_size AS DOUBLE) FROM part),
+      x AS (SELECT user_id, track_id, interaction_strength / sqrt(sum(interaction_strength * interaction_strength) OVER (PARTITION BY track_id)) AS x
+            FROM h WHERE interaction_strength <> 0)
+      SELECT track_id, neighbour_id, round(similarity, 6) AS similarity FROM (
+        SELECT a.track_id, b.track_id AS neighbour_id, sum(a.x * b.x) AS similarity
+        FROM x a JOIN x b ON a.user_id = b.user_id AND a.track_id <> b.track_id GROUP BY 1, 2)
+      QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(similarity, 9) DESC, neighbour_id) <= 100""").replace("\n,", ",", 1),
     "cf_topk": with_views(_CF_TOP.format(where="")),
     "cf_pool_topk": with_views(_CF_TOP.format(where="WHERE track_id IN (SELECT track_id FROM v_pool)")),
     "sequences": with_views("SELECT group_id, pos, track_id FROM v_seq"),

@@ -30,7 +30,7 @@ def listen_interactions(spark, d):
 def listen_merge(spark, d):
     """The log aggregated in two loads and merged: same rows as one aggregation."""
     rows = V.listens(spark, d)
-    cut = F.col("artist_name") == "The click"
+    cut = F.second("ts") < 30  # most pairs have listens in both loads
     return _times(merge_interactions(listens_to_interactions(rows.where(cut)), listens_to_interactions(rows.where(~cut))))
 
 

@@ -404,15 +404,16 @@ def playlist_duration(spark, d):
 
 
 def stream_listens(spark, d):
-    """The events table as a stream: interactions kept by micro-batches equal the batch aggregation."""
+    """The events table as a stream of several micro-batches, compacted: equal to the batch aggregation."""
     from cadenza.session import ensure_checkpoint_dir
     from cadenza.sources.listens import LogColumns, clean_listens
-    from cadenza.streaming.incremental import read_interactions, stream_interactions
+    from cadenza.streaming.incremental import compact_interactions, read_interactions, stream_interactions
 
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    schema = V.table(spark, d, "events").schema
-    source = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    events = V.table(spark, d, "events")
+    events.repartition(4, "event_id").write.parquet(f"{base}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     raw = source.select(
         F.col("user_id").cast("string").alias("user"), F.concat(F.lit("  The "), F.col("event_type")).alias("artist"),
         F.concat(F.lit("Song No. "), F.get_json_object("props", "$.k")).alias("track"),
@@ -420,6 +421,7 @@ def stream_listens(spark, d):
     )
     listens = clean_listens(raw, LogColumns("user", "artist", "track", "timestamp"))
     stream_interactions(listens, f"{base}/table", f"{base}/log", availableNow=True).awaitTermination()
+    compact_interactions(spark, f"{base}/table")
     out = read_interactions(spark, f"{base}/table")
     return out.withColumn("first_timestamp", F.unix_micros("first_timestamp")).withColumn("last_timestamp", F.unix_micros("last_timestamp"))
 
