@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from registry import blend, collaborative, content, data, listener, quality
+from registry import blend, collaborative, content, data, listener, quality, roundtrips
 
-MODULES = [data, content, collaborative, blend, listener, quality]
+MODULES = [data, content, collaborative, blend, listener, quality, roundtrips]
 
 
 def all_queries() -> dict:
