@@ -51,7 +51,7 @@ def unit(v: Column) -> Column:
 
 def mean_vector(vector: str, size: int) -> Column:
     """Element-wise mean of an array column as one aggregate (partial sums run before the shuffle)."""
-    return F.array(*[F.avg(F.col(vector)[i]) for i in range(size)])
+    return F.array(*[F.avg(F.get(F.col(vector), F.lit(i))) for i in range(size)])
 
 
 def harmonic(a: Column, b: Column) -> Column:

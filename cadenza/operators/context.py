@@ -139,7 +139,7 @@ def truncated_svd(
     dim: int = 16,
     oversample: int = 12,
     max_rounds: int = 64,
-    tolerance: float = 1e-6,
+    tolerance: float = 1e-3,
     seed: int = 42,
 ) -> DataFrame:
     """(track_id, vector): left singular vectors times the root of the singular values of a symmetric matrix.

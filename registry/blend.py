@@ -17,8 +17,9 @@ from registry.sql import view, with_views
 
 
 def _tables(spark, d):
-    i, t = V.interactions(spark, d), V.curated(spark, d)
+    i, t = V.once(V.interactions(spark, d)), V.once(V.curated(spark, d))
     features, names = content_features(t)
+    features = V.once(features)
     pool = base_pool(t)
     candidates = content_table(features, i, len(names), pool, i)
     cf = cf_scores(i, item_neighbours(i), pool)

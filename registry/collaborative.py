@@ -59,13 +59,13 @@ def neighbours_heavy(spark, d):
 
 
 def cf_ranked(spark, d):
-    i = V.interactions(spark, d)
+    i = V.once(V.interactions(spark, d))
     top = cf_topk(i, item_neighbours(i), k=10)
     return top.select("user_id", "track_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def cf_pool(spark, d):
-    i = V.interactions(spark, d)
+    i = V.once(V.interactions(spark, d))
     top = cf_topk(i, item_neighbours(i), k=10, pool=base_pool(V.tracks(spark, d)))
     return top.select("user_id", "track_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 

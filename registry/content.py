@@ -50,7 +50,8 @@ view("v_content_top", """
 
 
 def features(spark, d):
-    return content_features(V.curated(spark, d))
+    table, names = content_features(V.once(V.curated(spark, d)))
+    return V.once(table), names
 
 
 def genre_top(spark, d):

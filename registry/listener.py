@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from cadenza.operators import candidates as G
+from cadenza.operators import context as C
 from cadenza.operators import mood as M
 from cadenza.operators import playlist as P
 from cadenza.operators import profile as T
 from cadenza.operators import rerank as R
 from cadenza.operators.clusters import kmeans_labels, project_2d
-from cadenza.operators.content import content_explain, content_scores, content_topk
+from cadenza.operators.content import content_explain, content_topk
+from cadenza.operators.factors import factor_scores, fit_factors
 from cadenza.operators.features import content_features
-from cadenza.operators.hybrid import candidate_weights, component_table, hybrid, optional_blend, priors
+from cadenza.operators.history_view import history_ranking, listener_content, listener_features, mood_summary
 from cadenza.plans.skew import salted_join
 from registry import content  # noqa: F401  (define the SQL views used below)
 from registry import views as V
@@ -54,7 +56,7 @@ def recent_distinct(spark, d):
 
 
 def _raw(spark, d):
-    return G.expand_candidates(V.recent(spark, d), V.tracks(spark, d))
+    return G.expand_candidates(V.once(V.recent(spark, d)), V.once(V.tracks(spark, d)))
 
 
 def _deduped(spark, d):
@@ -76,8 +78,9 @@ def candidate_dedup(spark, d):
 
 def _candidates(spark, d, mode="audio-features"):
     """Candidate rows with catalog columns, sources and the user's artist affinity."""
-    rows = G.candidate_catalog(V.tracks(spark, d), _deduped(spark, d), ranking_mode=mode)
-    affinity = T.artist_affinity(V.recent(spark, d)).withColumnRenamed("affinity", "artist_affinity")
+    recent, tracks = V.once(V.recent(spark, d)), V.once(V.tracks(spark, d))
+    rows = G.candidate_catalog(tracks, G.dedupe_candidates(G.expand_candidates(recent, tracks)), ranking_mode=mode)
+    affinity = T.artist_affinity(recent).withColumnRenamed("affinity", "artist_affinity")
     return rows.join(affinity, ["user_id", "artist_name"], "left")
 
 
@@ -335,20 +338,38 @@ def diversity_rerank(spark, d):
     return R.rerank_diversity(rows, exploration=0.7, strength=0.8)
 
 
+def _listener_rows(spark, d):
+    """Candidates, recent plays with catalog columns, seeds."""
+    rows = V.once(_candidates(spark, d))
+    tracks = V.once(V.curated(spark, d)).drop("track_name", "artist_name", "artist_genres")
+    recent = V.once(V.recent(spark, d)).join(tracks, "track_id")
+    return rows, recent, V.once(V.seeds(spark, d))
+
+
 def _full_ranking(spark, d):
-    """History view: hybrid over the candidates, focus adjustment, optional blend, greedy diversity."""
-    rows = _candidates(spark, d)
-    features, names = content_features(V.curated(spark, d))
-    scores = content_scores(features, V.seeds(spark, d), len(names), rows)
-    unseen = rows.join(V.seeds(spark, d).select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")
-    table = component_table(unseen.select("user_id", "track_id"), priors(V.tracks(spark, d)), content=scores)
-    base = hybrid(table, candidate_weights(LEVEL), k=G.MAX_CANDIDATES)
-    detail = rows.drop("rank")
-    joined = base.select("user_id", "track_id", "score").join(detail, ["user_id", "track_id"])
-    adjusted = R.adjust_scores(joined, exploration=LEVEL, mood=MOOD)
-    blended = optional_blend(adjusted.select("user_id", "track_id", "score"), als=scores).select("user_id", "track_id", "score")
-    final = blended.join(detail, ["user_id", "track_id"])
-    return base, R.rerank_diversity(final, exploration=LEVEL, strength=R.DIVERSITY_STRENGTH["balanced"])
+    """History view with the scores of fitted ALS and context models."""
+    rows, recent, seeds = _listener_rows(spark, d)
+    i = V.once(V.interactions(spark, d))
+    pairs = rows.select("user_id", "track_id")
+    als = factor_scores(*fit_factors(i), pairs)
+    near = V.once(C.cooccurrence(C.build_sequences(i)))
+    context = C.context_scores(near, C.truncated_svd(C.ppmi(near), dim=8), seeds, pairs, 8)
+    before, after = history_ranking(rows, recent, seeds, exploration=LEVEL, mood=MOOD, als=als, embedding=context, limit=20)
+    return V.once(before), V.once(after)
+
+
+def listener_content_scores(spark, d):
+    """Content scores of the candidates in each listener's own feature space."""
+    rows, recent, seeds = _listener_rows(spark, d)
+    return listener_content(listener_features(recent, rows), seeds, rows).withColumn("score", F.round("score", 6))
+
+
+def top_moods(spark, d):
+    """Mood scores and signals of the first ten tracks of the history view without model scores."""
+    rows, recent, seeds = _listener_rows(spark, d)
+    _, after = history_ranking(rows, recent, seeds, exploration=LEVEL, mood=MOOD, limit=10)
+    out = mood_summary(after, rows, MOOD)
+    return out.withColumns({"mood_score": F.round("mood_score", 6), "positive_signals": F.array_join("positive_signals", "|"), "penalty_signals": F.array_join("penalty_signals", "|")})
 
 
 def full_ranking(spark, d):
@@ -669,6 +690,21 @@ def _chain(names: str, body: str) -> str:
     return with_views(f"SELECT 1 FROM {names}").rsplit("\nSELECT 1", 1)[0] + body
 
 
+LISTENER_SQL = """
+  , ut AS (SELECT user_id, track_id FROM v_recent UNION SELECT user_id, track_id FROM v_dedup),
+  ug AS (SELECT user_id, genre, count(*) AS n FROM ut JOIN v_tokens USING (track_id) GROUP BY 1, 2
+         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) <= 20),
+  v AS (SELECT user_id, track_id, feature_name AS f, value FROM ut JOIN v_raw_features USING (track_id) WHERE pos < 9
+        UNION ALL
+        SELECT ut.user_id, ut.track_id, 'genre ' || ug.genre, CASE WHEN t.genre IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END
+        FROM ut JOIN ug USING (user_id) LEFT JOIN v_tokens t ON t.track_id = ut.track_id AND t.genre = ug.genre),
+  st AS (SELECT user_id, f, avg(value) AS m, stddev_pop(value) AS s FROM v GROUP BY 1, 2),
+  z AS (SELECT user_id, track_id, f, (value - m) / CASE WHEN s <= 1e-12 * greatest(abs(m), 1.0) THEN 1.0 ELSE s END AS z FROM v JOIN st USING (user_id, f)),
+  p AS (SELECT user_id, f, avg(z) AS p FROM z JOIN (SELECT DISTINCT user_id, track_id FROM v_seeds) USING (user_id, track_id) GROUP BY 1, 2),
+  c AS (SELECT user_id, track_id, sum(p * z) / nullif(sqrt(sum(p * p)) * sqrt(sum(z * z)), 0) AS score
+        FROM z JOIN p USING (user_id, f) SEMI JOIN v_dedup USING (user_id, track_id) ANTI JOIN v_seeds USING (user_id, track_id) GROUP BY 1, 2)
+  SELECT user_id, track_id, round(score, 6) AS score FROM c WHERE score > 0
+"""
 QUERIES = {
     "recent_plays": recent_plays, "seed_tracks": seed_tracks, "recent_distinct": recent_distinct,
     "candidate_expand": candidate_expand, "candidate_dedup": candidate_dedup, "pool_shares": pool_shares,
@@ -682,7 +718,7 @@ QUERIES = {
     "mood_keyword": mood_keyword, "exploration_labels": exploration_labels, "bucket_topk": bucket_topk,
     "buckets": buckets, "keyword_buckets": keyword_buckets, "adjusted_scores": adjusted_scores,
     "artist_penalty": artist_penalty, "profile_rerank": profile_rerank, "diversity_rerank": diversity_rerank,
-    "full_ranking": full_ranking, "rank_diagnostics": rank_diagnostics, "bucket_overlap": bucket_overlap,
+    "full_ranking": full_ranking, "listener_content_scores": listener_content_scores, "top_moods": top_moods, "rank_diagnostics": rank_diagnostics, "bucket_overlap": bucket_overlap,
     "playlist_opener": playlist_opener, "playlist_sequence": playlist_sequence, "playlist_export": playlist_export,
     "playlist_duration": playlist_duration, "stream_listens": stream_listens,
 }
@@ -766,6 +802,7 @@ ORACLES = {
     "bucket_topk": with_views("SELECT user_id, bucket, rank, track_id, round(score, 6) AS score FROM v_b_ranked WHERE rank <= 10"),
     "keyword_buckets": with_views("SELECT user_id, bucket, rank, track_id, round(score, 6) AS score FROM v_bk_ranked WHERE rank <= 5"),
     "adjusted_scores": _chain("v_candidates", ADJUST_SQL),
+    "listener_content_scores": _chain("v_recent, v_dedup, v_seeds, v_raw_features, v_tokens", LISTENER_SQL),
     "artist_penalty": with_views("""
       SELECT user_id, track_id, round(catalog_popularity - p, 6) AS score, round(p, 6) AS artist_penalty FROM (
         SELECT *, 0.01::DOUBLE * (row_number() OVER (PARTITION BY user_id, artist_name ORDER BY round(catalog_popularity, 9) DESC, track_id) - 1) AS p FROM v_candidates)"""),

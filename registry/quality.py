@@ -37,7 +37,7 @@ def train_pool(spark, d):
 
 
 def _cf_lists(spark, d):
-    s = E.holdout(V.interactions(spark, d), n=3, min_interactions=5, by="time")
+    s = V.once(E.holdout(V.once(V.interactions(spark, d)), n=3, min_interactions=5, by="time"))
     train, test = s.where(~F.col("is_test")), s.where("is_test")
     return cf_topk(train, item_neighbours(train), k=10), test
 
@@ -50,9 +50,10 @@ def ranking_metrics(spark, d):
 
 def list_quality(spark, d):
     """Diversity, novelty and popularity bias of every user's content list."""
-    i, t = V.interactions(spark, d), V.curated(spark, d)
+    i, t = V.once(V.interactions(spark, d)), V.once(V.curated(spark, d))
     features, names = content_features(t)
-    ranked = content_topk(features, i, len(names), k=5)
+    features = V.once(features)
+    ranked = V.once(content_topk(features, i, len(names), k=5))
     div = E.list_diversity(ranked, list_pair_cosine(ranked, features))
     nov = E.list_novelty(ranked, E.popularity_of(i))
     return div.join(nov, "user_id").select(
@@ -61,13 +62,13 @@ def list_quality(spark, d):
 
 
 def coverage(spark, d):
-    i = V.interactions(spark, d)
+    i = V.once(V.interactions(spark, d))
     ranked = cf_topk(i, item_neighbours(i), k=10)
     return E.catalog_coverage(ranked, V.tracks(spark, d)).withColumn("coverage", F.round("coverage", 6))
 
 
 def _benchmark(spark, d, models, **kw):
-    i, t = V.interactions(spark, d), V.curated(spark, d)
+    i, t = V.once(V.interactions(spark, d)), V.once(V.curated(spark, d))
     features, names = content_features(t)
     return pool_benchmark(i, t, features, len(names), weights=exploration_weights(0.35), models=models, **kw)
 
