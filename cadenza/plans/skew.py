@@ -20,13 +20,12 @@ def salted_join(
     """Join facts with a table that has ONE row per key; a hot key does not stay in one task.
 
     By default Spark splits what is hot: adaptive execution measures the shuffled partitions and cuts the
-    ones above its skew thresholds, so keys of ordinary weight cost nothing. ``salts`` above 1 spreads every
-    key over that many tasks by the hash of the fact columns ``spread`` and repeats the keyed side; it is for
-    sessions without adaptive execution.
+    ones above its skew thresholds, so no key is repeated that need not be. It can do so only where both
+    sides come straight from a shuffle; the salt column, even with a single salt, sees to that when the keyed
+    side is an aggregate by the same key. ``salts`` above 1 also spreads every key over that many tasks by the
+    hash of the fact columns ``spread``; it is for sessions without adaptive execution.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if salts <= 1:
-        return facts.join(per_key, keys, how)
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
