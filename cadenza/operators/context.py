@@ -91,9 +91,13 @@ def ppmi(pairs: DataFrame) -> DataFrame:
     return joined.select("track_id", "context_id", value.alias("ppmi")).where(F.col("ppmi") > 0)
 
 
-def _times_matrix(block: DataFrame, vector: str, matrix, out: str) -> DataFrame:
-    """(track_id, vector x matrix) for a small matrix, one product per Arrow batch."""
+def _products(block: DataFrame, outputs: dict) -> DataFrame:
+    """(track_id, one array for each output): sums of vector x small matrix, computed per Arrow batch.
+
+    ``outputs`` names for each output the vector columns and the matrix that each one is multiplied by.
+    """
     id_type = block.schema["track_id"].dataType.simpleString()
+    used = sorted({column for parts in outputs.values() for column in parts})
 
     def multiply(batches):
         import numpy as np
@@ -101,36 +105,54 @@ def _times_matrix(block: DataFrame, vector: str, matrix, out: str) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                rows = batch.column(vector).flatten().to_numpy().reshape(batch.num_rows, -1) @ matrix
-                offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * rows.shape[1]
-                vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("track_id"), vectors], names=["track_id", out])
+                read = {c: batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in used}
+                made = [batch.column("track_id")]
+                for parts in outputs.values():
+                    rows = sum(read[c] @ matrix for c, matrix in parts.items())
+                    offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * rows.shape[1]
+                    made.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel())))
+                yield pa.RecordBatch.from_arrays(made, names=["track_id", *outputs])
 
-    return block.select("track_id", vector).mapInArrow(multiply, f"track_id {id_type}, {out} array<double>")
+    ddl = ", ".join([f"track_id {id_type}", *(f"{out} array<double>" for out in outputs)])
+    return block.select("track_id", *used).mapInArrow(multiply, ddl)
 
 
-def _inner(block: DataFrame, left: str, right: str, width: int):
-    """left^T right as a small matrix: one partial product per task, width x width numbers in all."""
+def _inner(block: DataFrame, left: list[str], right: list[str], shape: tuple[int, int]):
+    """left^T right as a small matrix, the columns of each side put side by side: one partial product per task."""
     import numpy as np
 
     def product(batches):
         import pyarrow as pa
 
-        total = np.zeros((width, width))
+        total = np.zeros(shape)
         for batch in batches:
             if batch.num_rows:
-                a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, width) for c in (left, right))
+                a, b = (
+                    np.concatenate([batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in side], axis=1)
+                    for side in (left, right)
+                )
                 total += a.T @ b
         flat = total.ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["cell", "v"])
 
-    columns = [F.col(left).alias(left)] if left == right else [F.col(left), F.col(right)]
-    partial = block.select(*columns).mapInArrow(product, "cell long, v double")
-    cells = partial.groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(width * width)
-    for c in cells:
-        out[c["cell"]] = c["v"]
-    return out.reshape(width, width)
+    partial = block.select(*dict.fromkeys([*left, *right])).mapInArrow(product, "cell long, v double")
+    cells = partial.groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(shape[0] * shape[1])
+    out[cells["cell"].to_numpy()] = cells["v"].to_numpy()
+    return out.reshape(shape)
+
+
+def _ritz(gram, image):
+    """(values, matrix) of the basis with inner products ``gram`` and ``image`` = basis^T A basis: its best
+    approximations of eigenvectors, largest sizes first. Directions that the basis has twice are left out."""
+    import numpy as np
+
+    size, axes = np.linalg.eigh((gram + gram.T) / 2)
+    kept = size > size.max() * 1e-8
+    whiten = axes[:, kept] / np.sqrt(size[kept])
+    values, vectors = np.linalg.eigh(whiten.T @ ((image + image.T) / 2) @ whiten)
+    order = np.argsort(-np.abs(values))
+    return values[order], (whiten @ vectors)[:, order]
 
 
 def truncated_svd(
@@ -138,17 +160,20 @@ def truncated_svd(
     *,
     dim: int = 16,
     oversample: int = 12,
-    max_rounds: int = 64,
-    tolerance: float = 1e-3,
+    max_rounds: int = 300,
+    tolerance: float = 1e-6,
     seed: int = 42,
 ) -> DataFrame:
     """(track_id, vector): left singular vectors times the root of the singular values of a symmetric matrix.
 
-    ``matrix`` is (row id, column id, value). Block power iteration with Rayleigh-Ritz (randomized
-    SVD). The tall factor stays a DataFrame; the driver sees (dim + oversample) squared numbers per
-    round. Each round is checkpointed in the session's shared folder, so a lost executor costs a round.
-    Rounds go on until the values that are kept change by less than ``tolerance``; it is an error if
-    ``max_rounds`` do not suffice. A matrix without cells has no vectors.
+    ``matrix`` is (row id, column id, value). Block Krylov iteration with Rayleigh-Ritz and thick restarts: each
+    round multiplies one block of dim + oversample vectors, the residuals of the best approximations so far, and
+    adds it to the basis; a basis of six blocks is replaced by its best three. Basis and images stay a DataFrame;
+    the driver sees small matrices of at most six by two blocks per round. Each round is checkpointed in the
+    session's shared folder, so a lost executor costs a round. Rounds go on until |Aq - lambda q| of every kept
+    vector is at most ``tolerance`` times its own |lambda| (values under 1e-7 of the largest one count as that,
+    because rounding hides their residual); it is an error if ``max_rounds`` do not suffice. A matrix without
+    cells has no vectors.
     """
     import numpy as np
 
@@ -158,13 +183,17 @@ def truncated_svd(
         F.col(row).alias("track_id"), F.col(column).alias("context_id"), F.col(value).alias("v")
     ).checkpoint()
     ids = cells.select("track_id").distinct()
-    width = max(1, min(dim + oversample, ids.count()))
+    empty = F.expr("cast(array() as array<double>)")
+    width = min(dim + oversample, ids.count())
+    if not width:
+        return ids.select("track_id", empty.alias("vector"))
+    kept = min(dim, width)
 
-    def multiply(block: DataFrame, vector: str) -> DataFrame:
+    def multiply(block: DataFrame, vector: str, size: int) -> DataFrame:
         # A symmetric matrix has every id both as row and as column, so no row is lost by the join.
         right = block.select(F.col("track_id").alias("context_id"), F.col(vector).alias("q"))
         joined = salted_join(cells, right, "context_id", spread=["track_id"], how="inner")
-        sums = [F.sum(F.col("v") * F.col("q")[i]) for i in range(width)]
+        sums = [F.sum(F.col("v") * F.col("q")[i]) for i in range(size)]
         return joined.groupBy("track_id").agg(F.array(*sums).alias("y"))
 
     def noise(i: int) -> Column:
@@ -175,30 +204,51 @@ def truncated_svd(
         ]
         return F.sqrt(-2.0 * F.ln(u[0])) * F.cos(u[1] * F.lit(2 * np.pi))
 
-    q = ids.select("track_id", F.array(*[noise(i) for i in range(width)]).alias("q"))
-    last, change = None, np.inf
+    # basis and image: the vectors so far and A times them; p and y: the new block and A times it.
+    state = ids.select("track_id", empty.alias("basis"), empty.alias("image"), F.array(*[noise(i) for i in range(width)]).alias("p"))
+    old, new, gram, image = 0, width, np.zeros((0, 0)), np.zeros((0, 0))
+    worst = np.inf
     for _ in range(max_rounds):
-        y = multiply(multiply(q, "q"), "y").checkpoint()
-        g = _inner(y, "y", "y", width)
-        values, vectors = np.linalg.eigh((g + g.T) / 2)
-        safe = values > max(values.max(), 0.0) * 1e-13
-        whiten = np.where(safe, 1.0 / np.sqrt(np.where(safe, values, 1.0)), 0.0)
-        order = np.argsort(-values)
-        q = _times_matrix(y, "y", (vectors * whiten)[:, order], "q")
-        top = np.maximum(values[order], 0.0)[:dim] ** 0.25
-        change = np.inf if last is None else np.max(np.abs(top - last)) / max(top[0], 1e-300)
-        if change <= tolerance:
+        state = state.join(multiply(state, "p", new), "track_id").checkpoint()
+        both = _inner(state, ["basis", "p"], ["p", "y"], (old + new, 2 * new))
+        gram, image = (
+            np.block([[whole, part[:old]], [part[:old].T, part[old:]]])
+            for whole, part in ((gram, both[:, :new]), (image, both[:, new:]))
+        )
+        values, ritz = _ritz(gram, image)
+        size = len(values)
+        if size + width > 6 * width:
+            values, ritz, size = values[: 3 * width], ritz[:, : 3 * width], 3 * width
+        gram, image = np.eye(size), np.diag(values)
+        block = min(width, size)
+        # Residuals Aq - lambda q of the best approximations.
+        own = ritz[:, :block] * values[:block]
+        state = _products(state, {
+            "basis": {"basis": ritz[:old], "p": ritz[old:]},
+            "image": {"image": ritz[:old], "y": ritz[old:]},
+            "r": {"image": ritz[:old, :block], "y": ritz[old:, :block], "basis": -own[:old], "p": -own[old:]},
+        })
+        rr = _inner(state, ["basis", "r"], ["r"], (size + block, block))
+        length = np.sqrt(np.maximum(np.diag(rr[size:]), 0.0))
+        sizes = np.abs(values[:kept])
+        worst = np.max(length[:kept] / np.maximum(sizes, max(1e-7 * sizes[0], 1e-300)))
+        if worst <= tolerance:
             break
-        last = top
+        # The next block: residuals of length one without their part along the basis, made orthonormal.
+        unit = np.where(length > 1e-13 * sizes[0], 1.0 / np.where(length > 0, length, 1.0), 0.0)
+        along, between = rr[:size] * unit, unit[:, None] * rr[size:] * unit
+        spread, axes = np.linalg.eigh(between - along.T @ along)
+        good = spread > 1e-8 * max(spread.max(), 1e-300)
+        turn = axes[:, good] / np.sqrt(spread[good])
+        old, new = size, turn.shape[1]
+        if not new:
+            raise RuntimeError(f"singular vectors still change by {worst:.2e} and have no further direction")
+        same = np.eye(size)
+        state = _products(state, {"basis": {"basis": same}, "image": {"image": same}, "p": {"r": unit[:, None] * turn, "basis": -along @ turn}})
     else:
-        raise RuntimeError(f"singular values still change by {change:.2e} after {max_rounds} rounds")
-    # Rayleigh-Ritz on the block: Qt A Q gives signed eigenvalues; singular values are their sizes.
-    both = multiply(q, "q").join(q, "track_id")
-    b = _inner(both, "q", "y", width)
-    values, vectors = np.linalg.eigh((b + b.T) / 2)
-    order = np.argsort(-np.abs(values))[: min(dim, width)]
-    scale = vectors[:, order] * np.sqrt(np.abs(values[order]))
-    return _times_matrix(q, "q", scale, "vector").checkpoint()
+        raise RuntimeError(f"singular vectors still change by {worst:.2e} of their values after {max_rounds} rounds")
+    scale = np.eye(size)[:, :kept] * np.sqrt(np.abs(values[:kept]))
+    return _products(state, {"vector": {"basis": scale}}).checkpoint()
 
 
 def direct_context(pairs: DataFrame) -> DataFrame:

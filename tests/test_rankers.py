@@ -120,6 +120,22 @@ def test_truncated_svd_matches_numpy(spark):
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-4)
 
 
+def test_truncated_svd_on_a_flat_spectrum(spark):
+    rng = np.random.default_rng(0)
+    n = 240
+    upper = np.triu((rng.random((n, n)) < 0.1) * np.abs(rng.normal(size=(n, n))), 1)
+    dense = upper + upper.T
+    rows = [(int(i), int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    out = C.truncated_svd(spark.createDataFrame(rows, "a long, b long, v double"), dim=6, oversample=6)
+    got = np.array([r["vector"] for r in out.orderBy("track_id").collect()])
+    sizes = (got**2).sum(axis=0)
+    true = np.linalg.eigvalsh(dense)
+    assert np.allclose(sizes, sorted(np.abs(true), reverse=True)[:6], rtol=1e-6)
+    q = got / np.sqrt(sizes)
+    signed = np.einsum("ij,ij->j", q, dense @ q)
+    assert np.max(np.linalg.norm(dense @ q - q * signed, axis=0) / sizes) < 1e-5
+
+
 def test_clusters_and_projection(spark):
     assert [cluster_count(n) for n in (1, 3, 9, 400)] == [1, 1, 3, 4]
     v = spark.createDataFrame([(i, [float(i % 2) * 10, float(i), 1.0]) for i in range(8)], "track_id long, features array<double>")
