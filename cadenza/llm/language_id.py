@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import arrow_schema, crc_mod, plain, slices
+from cadenza.plans.skew import top_k
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Learning documents of each language at most; of more rows a hash of the text picks about as many.
+#: Learning documents of each language at most: of more distinct texts, those with the smallest hashes.
 SAMPLE = 600
+#: Texts that pass the first cut by hash, as a multiple of the sample; their number is estimated to 2 %.
+MARGIN, ESTIMATE = 1.5, 0.02
 #: Windows of one learning document at most, evenly spread over it.
 WINDOWS = 4
 FOLD, HELD_OUT = 4, 2
@@ -127,27 +130,39 @@ def train(windows: np.ndarray, answer: np.ndarray, languages: list[str], *, epoc
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteNet | None:
-    """A network from rows with text and language whose crc32(id as text) mod 4 is not 2; None without such rows."""
+    """A network from rows with text and language whose crc32(id as text) mod 4 is not 2; None without such rows.
+
+    Copies of a text under one language teach once: the sample is the ``sample`` distinct texts of each language
+    with the smallest hashes. The number of distinct texts is estimated only to let few more than those through.
+    """
     rows = plain(docs, id_col, text_col, lang=lang_col).where("text is not null and lang is not null")
     rows = rows.where(F.coalesce(crc_mod(F.col("id"), FOLD), F.lit(0)) != HELD_OUT)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", ESTIMATE).alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    share = F.coalesce(*(F.when(F.col("lang") == lang, min(1.0, sample / sizes[lang])) for lang in languages))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
-    ddl = "lang string, windows binary"
+    bounds = {lang: min(2**63 - 1, int(MARGIN * sample / n * 2**63)) for lang, n in sizes.items()}
+    chosen = rows.where(F.coalesce(*(F.when(F.col("lang") == lang, F.lit(bounds[lang])) for lang in languages)) >= F.col("h"))
+    ddl = "lang string, h bigint, windows binary"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of about MARGIN * sample texts of each language
         for part in slices(batches):
             out = []
-            for t in part.column("text").cast(pa.binary()).to_pylist():
-                got = cut([t])[0]
-                out.append(got[np.unique(np.linspace(0, len(got) - 1, WINDOWS).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(out, pa.binary())], schema=schema)
-
-    got = sorted(chosen.mapInArrow(run, ddl).limit(4 * sample * len(languages)).collect())
+            for lang, t, h in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("h").to_pylist()):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    got = cut([t])[0]
+                    out.append((lang, h, got[np.unique(np.linspace(0, len(got) - 1, WINDOWS).astype(int))].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    texts = chosen.mapInArrow(run, ddl).groupBy("lang", "h").agg(F.min("windows").alias("windows"))
+    got = sorted(top_k(texts, ["lang"], [F.col("h")], sample).select("lang", "h", "windows").collect())
+    if not got:
+        return None
     windows = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW + _REACH) for r in got]
     answer = np.repeat([languages.index(r["lang"]) for r in got], [len(w) for w in windows])
     return train(np.concatenate(windows), answer, languages)

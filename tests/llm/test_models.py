@@ -17,6 +17,35 @@ def test_language_of_held_out_rows(spark):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
 
 
+def _taught(monkeypatch):
+    """What ``learn`` hands to ``train``: number of windows of each language."""
+    taught = {}
+
+    def train(windows, answer, languages):
+        taught.update({lang: int((answer == k).sum()) for k, lang in enumerate(languages)})
+        return language_id.ByteNet(languages)
+
+    monkeypatch.setattr(language_id, "train", train)
+    return taught
+
+
+def test_copies_of_a_text_teach_once(spark, monkeypatch):
+    taught = _taught(monkeypatch)
+    other = [(f"document {k} of a language", lang) for lang, n in (("de", 300), ("en", 300), ("fr", 8)) for k in range(n)]
+    for hot in ("one hot text", "another hot text"):
+        rows = [(k, *r) for k, r in enumerate([(hot, "de")] * 3000 + other)]
+        rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+        language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), sample=40)
+        assert taught == {"de": 40, "en": 40, "fr": len({t for _, t, lang in rows if lang == "fr"})}
+
+
+def test_a_table_of_copies_is_learned(spark, monkeypatch):
+    taught = _taught(monkeypatch)
+    for text in ("first", "second", "third", "fourth"):
+        docs = spark.range(5000).selectExpr("id as doc_id", f"'{text}' as text", "'en' as lang")
+        assert language_id.learn(docs) is not None and taught == {"en": 1}
+
+
 def test_quality_of_held_out_rows(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = queries.QUERIES["op6_line_crf"](spark, SF).collect()
