@@ -38,11 +38,11 @@ class Automaton:
     links lead to it.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
         self.window, self.vocabulary = window, {}
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        own: list[set[str]] = [set()]
+        own: list[set[str | None]] = [set()]
         self.short: dict[int, dict[int, set[str]]] = {}
         pairs = set()
         self.shortest = window
@@ -155,7 +155,7 @@ def _pieces(items: DataFrame, window: int) -> DataFrame:
             for name, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
                 got = words((text or "").encode())
                 for at in range(0, max(1, len(got) - window + 1), PIECE_WORDS):
-                    if name is not None and got:
+                    if got:
                         rows.append({"item": name, "piece": at, "words": b" ".join(got[at : at + PIECE_WORDS + window - 1])})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.string()), ("piece", pa.int64()), ("words", pa.binary())]))
@@ -166,14 +166,20 @@ def _pieces(items: DataFrame, window: int) -> DataFrame:
 def automata(items: DataFrame, *, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[Automaton]:
     """Automata that together hold all items, each over about ``block_chars`` characters of them.
 
-    Items with a null id or without words take part in nothing. Rows that repeat an id add their windows to it.
+    Items without words take part in nothing. Rows that repeat an id add their windows to it, and so do those with a
+    null id to the null one.
     """
     pieces = _pieces(plain(items, id_col, text_col), window)
     size = pieces.agg(F.sum(F.length("words"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
     for k in range(blocks):
         rows = pieces.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == k).collect()
-        yield Automaton(sorted((r["item"], bytes(r["words"]).split(b" ")) for r in rows), window)
+        yield Automaton(sorted(((r["item"], bytes(r["words"]).split(b" ")) for r in rows), key=lambda x: (_by_id(x[0]), x[1])), window)
+
+
+def _by_id(name: str | None) -> tuple[bool, str]:
+    """Sort key of item ids, null last."""
+    return name is None, name or ""
 
 
 def find_contamination(
@@ -181,7 +187,8 @@ def find_contamination(
     item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: doc_id, text, n_words, spans (array of word ranges, end exclusive, disjoint),
-    longest (longest match in words), items (sorted ids of items with an occurring window), and the columns ``keep``.
+    longest (longest match in words), items (sorted ids of items with an occurring window, one null for all without id),
+    and the columns ``keep``.
 
     The documents stream past each automaton inside the tasks that read them; no shuffle. An automaton is bounded
     by ``block_chars``; more items mean more passes over the same rows in the same job. Null texts have no words;
@@ -223,7 +230,7 @@ def _scanner(shared):
             for row, found in hits.items():
                 spans[row] = _merge([(x["start"], x["end"]) for x in spans[row]] + [(s, e) for s, e, _, _ in found])
                 longest[row] = max(longest[row], max(m for _, _, m, _ in found))
-                items[row] = sorted(set(items[row]).union(*(names for _, _, _, names in found)))
+                items[row] = sorted(set(items[row]).union(*(names for _, _, _, names in found)), key=_by_id)
             new = {"n_words": counts, "spans": spans, "longest": longest, "items": items}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new[f.name], f.type) if f.name in new else part.column(k) for k, f in enumerate(part.schema)], schema=part.schema

@@ -1,10 +1,12 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import pytest
 
-from cadenza.llm import bloom_lookup, crf_quality, decontaminate, language_id, lsh_forest, packing, personal_data, substrings, tool_calls, warc
+from cadenza.llm import bloom_lookup, crf_quality, decontaminate, language_id, lsh_forest, packing, personal_data, queries, substrings, tool_calls, warc
 
 LONG = "word " * 60_000 + "x" * 50_000
 ROWS = [
@@ -95,6 +97,23 @@ def test_no_items_no_pages_no_calls(spark, edge):
     assert tool_calls.link_calls(calls, spark.createDataFrame([], "conv_id long, call_id string, content string, position long"), {}).count() == 0
 
 
+def test_items_without_id_are_hits(spark, tmp_path):
+    passage, known = "one two three four five six seven eight nine ten", "a b c d e f g h i j"
+    docs = [(1, f"x {passage} y z u v w q r s t p o m"), (2, f"{passage} {known}"), (3, "nothing of it")]
+    benchmark = [(None, passage), (None, passage + " more"), (7, known)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(benchmark, "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op5_suffix_automaton"](spark, str(tmp_path)).collect()}
+    # As in the SQL: all items without id count as one, and the digest is of the known ids only.
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert [(got[k].n_hit, got[k].n_items, got[k].items_sha256) for k in (1, 2, 3)] == [(10, 1, digest("")), (20, 2, digest("7")), (0, 0, digest(""))]
+    for chars in (600_000, 20):
+        texts = {r.doc_id: r.text for r in decontaminate.clean(docs, benchmark, block_chars=chars).collect()}
+        assert texts == {1: "x  y z u v w q r s t p o m", 3: "nothing of it"}
+
+
 def test_one_document_follows_itself(spark):
     r = bloom_lookup.edited_fingerprints(spark.createDataFrame([(1, "abcd\nefgh")], "doc_id long, text string")).first()
     assert r.edited == "abcd\nabcd" and r.near_next == 1.0
