@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import bloom_lookup, crf_quality, decontaminate, language_id, lsh_forest, packing, personal_data, substrings, tool_calls, warc
+from cadenza.llm import bloom_lookup, crf_quality, decontaminate, language_id, lsh_forest, packing, personal_data, ppm, spelling, substrings, tool_calls, warc, whitening
 
 from cadenza.llm.common import crc_mod
 
@@ -101,6 +101,21 @@ def op10_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link_calls(*conversation_calls(_table(spark, sf_dir, "conversations")), TOOLS)
 
 
+def op11_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op12_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), ppm.FOLD) == 0
+    scored = ppm.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_asymmetric_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), damage=199))
+
+
 QUERIES = {
     "op1_byte_network": op1_byte_network,
     "op2_vector_packing": op2_vector_packing,
@@ -112,6 +127,9 @@ QUERIES = {
     "op8_lsh_forest": op8_lsh_forest,
     "op9_bloom_lookup": op9_bloom_lookup,
     "op10_tool_links": op10_tool_links,
+    "op11_incremental_whitening": op11_incremental_whitening,
+    "op12_partial_matching": op12_partial_matching,
+    "op13_asymmetric_chunks": op13_asymmetric_chunks,
 }
 
 ORACLES = {
