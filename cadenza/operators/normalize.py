@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from cadenza.functions import text as X
 from cadenza.plans.skew import salted_join
 
+# Column lists of the published tables.
 AUDIO_NUMBERS = [
     "danceability", "energy", "key", "loudness", "mode", "speechiness", "acousticness",
     "instrumentalness", "liveness", "valence", "tempo", "duration_ms", "time_signature",
@@ -144,9 +145,10 @@ def track_level(
     tracks = metadata if metadata is not None else audio
     if metadata is not None and audio is not None:
         tracks = tracks.join(audio.drop("duration_ms"), "track_id", "left")
-        # A payload that is not there is an empty table; the audio features are the base then.
+        # A payload that is not there is an empty table; the audio features are the base then. They bring no column
+        # that metadata lacks, so a catalog without durations gets none.
         rows = metadata.agg(F.count(F.lit(1)).alias("n")).scalar()
-        tracks = tracks.unionByName(audio.where(rows == 0), allowMissingColumns=True)
+        tracks = tracks.unionByName(select_existing(audio, tracks.columns).where(rows == 0), allowMissingColumns=True)
     if "track_name" not in tracks.columns:
         tracks = tracks.withColumn("track_name", F.col("name") if "name" in tracks.columns else F.lit(""))
     for source, primary in (("artist_ids", "primary_artist_id"), ("artist_names", "primary_artist_name")):

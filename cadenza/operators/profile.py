@@ -144,12 +144,20 @@ def personality(rows: DataFrame) -> DataFrame:
 
 
 def profile_rows(recent_tracks: DataFrame, candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Recent and candidate tracks per user, first occurrence kept (recent before candidate)."""
+    """Recent and candidate tracks per user, first occurrence kept (recent before candidate).
+
+    ``map_order`` is the place of a row in the listener's list: recent rows by ``pos``, then candidates by ``candidate_pos``.
+    """
+
+    def placed(df: DataFrame, source: int, pos: str) -> DataFrame:
+        at = F.col(pos).cast("long") if pos in df.columns else F.lit(0).cast("long")
+        return df.withColumn("map_order", F.struct(F.lit(source).alias("source"), at.alias("pos"))).drop(pos)
+
     marked = candidates.join(seeds.select("user_id", "track_id", F.lit(True).alias("s")), ["user_id", "track_id"], "left")
-    a = recent_tracks.withColumn("is_recent", F.lit(True)).withColumn("_o", F.lit(0))
-    b = marked.withColumn("is_recent", F.coalesce("s", F.lit(False))).drop("s").withColumn("_o", F.lit(1))
+    a = placed(recent_tracks.withColumn("is_recent", F.lit(True)), 0, "pos")
+    b = placed(marked.withColumn("is_recent", F.coalesce("s", F.lit(False))).drop("s"), 1, "candidate_pos")
     both = a.unionByName(b, allowMissingColumns=True)
-    first = top_k(both, ["user_id", "track_id"], [F.col("_o")], 1).drop("rank", "_o")
+    first = top_k(both, ["user_id", "track_id"], [F.col("map_order")], 1).drop("rank")
 
     def text(name: str) -> Column:
         return F.col(name).cast("string") if name in first.columns else F.lit(None).cast("string")
@@ -179,7 +187,7 @@ def cluster_label(rows: DataFrame, dominant: DataFrame) -> DataFrame:
     """(user_id, cluster_id, cluster_label) from the means and top five genres of the dominant cluster."""
     inside = rows.join(dominant, ["user_id", "cluster_id"], "left_semi")
     means = inside.groupBy("user_id").agg(
-        *[F.coalesce(F.avg(try_double(F.col(c), None)), F.lit(0.5)).alias(c) for c in TASTE_COLUMNS]
+        *[(F.coalesce(F.avg(try_double(F.col(c), None)), F.lit(0.5)) if c in rows.columns else F.lit(0.5)).alias(c) for c in TASTE_COLUMNS]
     )
     genres = top_genres(inside).groupBy("user_id").agg(
         F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "genre"))), lambda x: x["genre"]), " ")).alias("g")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from registry import blend, collaborative, content, data, listener, quality, roundtrips
+from registry import blend, collaborative, content, data, listener, quality, roundtrips, taste
 
-MODULES = [data, content, collaborative, blend, listener, quality, roundtrips]
+MODULES = [data, content, collaborative, blend, listener, quality, roundtrips, taste]
 
 
 def all_queries() -> dict:

@@ -178,8 +178,8 @@ ARTIST_SQL = """
 """
 
 
-def payload_tracks(spark, d):
-    """Tracks as nested payload rows (one track each), flattened again."""
+def track_payload(spark, d):
+    """part as nested track payloads of one track each."""
     p = V.table(spark, d, "part")
     artists = F.array(
         F.struct(F.col("p_brand").alias("id"), F.col("p_brand").alias("name")),
@@ -197,8 +197,12 @@ def payload_tracks(spark, d):
         F.lit(1).cast("long").alias("track_number"), F.lit(1).cast("long").alias("disc_number"),
         F.create_map(F.lit("page"), F.col("p_name")).alias("external_urls"),
     )
-    payload = p.select(F.array(track, F.when(F.lit(False), track)).alias("tracks"))
-    return N.track_metadata(payload)
+    return p.select(F.array(track, F.when(F.lit(False), track)).alias("tracks"))
+
+
+def payload_tracks(spark, d):
+    """Tracks as nested payload rows, flattened again."""
+    return N.track_metadata(track_payload(spark, d))
 
 
 PAYLOAD_TRACKS_SQL = """
@@ -213,7 +217,7 @@ PAYLOAD_TRACKS_SQL = """
 """
 
 
-def _playlists(spark, d):
+def playlist_payload(spark, d):
     """Orders as playlists: the lines of an order are its items (a handful each)."""
     li = V.table(spark, d, "lineitem")
     artist = F.struct(F.concat(F.lit("S"), F.col("l_suppkey")).alias("id"), F.lit("x").alias("name"))
@@ -233,18 +237,18 @@ def _playlists(spark, d):
 
 
 def payload_playlists(spark, d):
-    rows = N.playlist_tracks(_playlists(spark, d))
+    rows = N.playlist_tracks(playlist_payload(spark, d))
     return rows.groupBy("playlist_id", "track_id", "track_artist_ids", "added_at", "album_name", "added_by_user_id").agg(
         F.count(F.lit(1)).alias("items"), F.round(F.sum("track_popularity"), 6).alias("track_popularity")
     )
 
 
 def playlist_ids(spark, d):
-    return playlist_track_ids(_playlists(spark, d))
+    return playlist_track_ids(playlist_payload(spark, d))
 
 
 def playlist_artists(spark, d):
-    return playlist_artist_ids(_playlists(spark, d)).select("playlist_id", "artist_id", "pos")
+    return playlist_artist_ids(playlist_payload(spark, d)).select("playlist_id", "artist_id", "pos")
 
 
 view("v_items", """

@@ -12,7 +12,6 @@ from cadenza.operators import mood as M
 from cadenza.operators import playlist as P
 from cadenza.operators import profile as T
 from cadenza.operators import rerank as R
-from cadenza.operators.clusters import kmeans_labels, project_2d
 from cadenza.operators.content import content_explain, content_topk
 from cadenza.operators.factors import factor_scores, fit_factors
 from cadenza.operators.features import content_features
@@ -59,7 +58,7 @@ def _raw(spark, d):
     return G.expand_candidates(V.once(V.recent(spark, d)), V.once(V.tracks(spark, d)))
 
 
-def _deduped(spark, d):
+def deduped(spark, d):
     return G.dedupe_candidates(_raw(spark, d))
 
 
@@ -70,7 +69,7 @@ def candidate_expand(spark, d):
 
 
 def candidate_dedup(spark, d):
-    return _deduped(spark, d).select(
+    return deduped(spark, d).select(
         "user_id", "track_id", F.col("candidate_pos").cast("long").alias("candidate_pos"),
         F.array_join("candidate_sources", ", ").alias("candidate_sources"),
     )
@@ -85,7 +84,7 @@ def _candidates(spark, d, mode="audio-features"):
 
 
 def pool_shares(spark, d):
-    rows = G.artist_pool_shares(G.candidate_catalog(V.tracks(spark, d), _deduped(spark, d)))
+    rows = G.artist_pool_shares(G.candidate_catalog(V.tracks(spark, d), deduped(spark, d)))
     return rows.select(
         "user_id", "track_id", "candidate_artist_pool_count",
         F.round("candidate_artist_pool_share", 6).alias("candidate_artist_pool_share"),
@@ -93,11 +92,11 @@ def pool_shares(spark, d):
 
 
 def source_counts(spark, d):
-    return G.source_counts(_deduped(spark, d))
+    return G.source_counts(deduped(spark, d))
 
 
 def pool_summary(spark, d):
-    dedup = _deduped(spark, d)
+    dedup = deduped(spark, d)
     return G.pool_summary(_raw(spark, d), dedup, G.candidate_catalog(V.tracks(spark, d), dedup))
 
 
@@ -148,32 +147,22 @@ def personality(spark, d):
     return out.select("user_id", *[F.col(c).cast("long").alias(c) for c in ("energy_score", "discovery_score", "favorite_decade")])
 
 
-def taste_profile(spark, d):
-    clusters = kmeans_labels(content_features(V.curated(spark, d))[0])
-    return T.taste_profile(_profile_rows(spark, d), clusters)
-
-
-def _profile_rows(spark, d):
+def profile_row_table(spark, d):
     t = V.tracks(spark, d)
     recent = salted_join(V.recent(spark, d).select("user_id", "track_id").distinct(), t, "track_id", spread=["user_id"], how="inner")
-    candidates = salted_join(_deduped(spark, d).select("user_id", "track_id"), t, "track_id", spread=["user_id"], how="inner")
+    candidates = salted_join(deduped(spark, d).select("user_id", "track_id"), t, "track_id", spread=["user_id"], how="inner")
     return T.profile_rows(recent, candidates, V.seeds(spark, d))
 
 
 def profile_rows(spark, d):
-    return _profile_rows(spark, d).select("user_id", "track_id", "track_name", "artist_name", "is_recent")
+    return profile_row_table(spark, d).select("user_id", "track_id", "track_name", "artist_name", "is_recent")
 
 
 def fixed_cluster_profile(spark, d):
-    """Taste profile with the track's genre as its cluster, so that the rules can be checked."""
+    """Taste profile with fixed clusters (the track id modulo four), so that the rules can be checked."""
     t = V.tracks(spark, d)
     clusters = t.select("track_id", (F.col("track_id") % 4).cast("int").alias("cluster_id"))
-    return T.taste_profile(_profile_rows(spark, d), clusters).withColumn("cluster_id", F.col("cluster_id").cast("long"))
-
-
-def taste_points(spark, d):
-    features, _ = content_features(V.curated(spark, d))
-    return T.taste_points(_profile_rows(spark, d), project_2d(features), kmeans_labels(features))
+    return T.taste_profile(profile_row_table(spark, d), clusters).withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 
 def _top(spark, d, k=3):
@@ -711,7 +700,7 @@ QUERIES = {
     "source_counts": source_counts, "pool_summary": pool_summary, "seed_match": seed_match,
     "artist_affinity": artist_affinity, "seed_affinity": seed_affinity, "taste_means": taste_means,
     "top_artists": top_artists, "top_genres": top_genres, "personality": personality, "profile_rows": profile_rows,
-    "fixed_cluster_profile": fixed_cluster_profile, "taste_profile": taste_profile, "taste_points": taste_points,
+    "fixed_cluster_profile": fixed_cluster_profile,
     "taste_signals": taste_signals, "nearest_references": nearest_references, "first_labels": first_labels,
     "rationale": rationale, "explanation_labels": explanation_labels, "score_breakdown": score_breakdown,
     "history_profile": history_profile, "mood_relevance": mood_relevance, "mood_audio": mood_audio,

@@ -14,9 +14,10 @@ from cadenza.operators.neighbours import cf_topk, item_neighbours
 from cadenza.operators.similarity import cosine_topk
 from cadenza.session import ensure_checkpoint_dir
 from cadenza.sources import tables as S
+from cadenza.sources.bundles import curate_bundle
 from cadenza.sources.listens import read_listens
 from cadenza.sources.payloads import read_payload
-from registry import collaborative, data  # noqa: F401  (define the SQL views used below)
+from registry import collaborative, data  # noqa: F401  (the first defines SQL views used below)
 from registry import views as V
 from registry.sql import with_views
 
@@ -57,6 +58,34 @@ def artist_payload(spark, d):
     return out.select("artist_id", "name", "genres", "popularity", "followers_total")
 
 
+def _artists(spark, d):
+    s = V.table(spark, d, "supplier")
+    a = F.struct(
+        F.concat(F.lit("Brand#"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array(F.lit("Folk"), F.lit("rock")).alias("genres"),
+        F.struct(F.col("s_suppkey").alias("total")).alias("followers"), F.col("s_acctbal").alias("popularity"),
+    )
+    return s.select(F.array(a).alias("artists"))
+
+
+def _bundle(spark, d):
+    path = _folder(spark, "bundle")
+    payloads = {"tracks": data.track_payload(spark, d), "audio_features": _audio(spark, d), "artists": _artists(spark, d), "playlist": data.playlist_payload(spark, d)}
+    for kind, df in payloads.items():
+        df.write.json(f"{path}/{kind}")
+    return curate_bundle(spark, {kind: f"{path}/{kind}" for kind in payloads}, f"{path}/tables", "20240101", multi_line=False)
+
+
+def bundle_tracks(spark, d):
+    """A collection bundle as files through all curated tables: its track table."""
+    t = _bundle(spark, d)["track_level"]
+    return t.select("track_id", "track_name", "primary_artist_id", "artist_genres", "danceability", "tempo", "playlist_occurrences", F.round("artist_popularity", 6).alias("artist_popularity"), "track_url")
+
+
+def bundle_artists(spark, d):
+    a = _bundle(spark, d)["artist_level"]
+    return a.select("artist_id", "name", "genres", "followers_total", "track_count", F.round("avg_danceability", 6).alias("avg_danceability"), F.round("avg_tempo", 5).alias("avg_tempo"))
+
+
 def _listens_of(spark, path):
     rows = read_listens(spark, path)
     return rows.groupBy("user_id", "track_id", "artist_name", "track_name").agg(
@@ -124,12 +153,14 @@ def stored_similarities(spark, d):
 
 
 def stored_factors(spark, d):
-    """Every known pair gets a score from saved factors (the values depend on the fit, the rows do not)."""
+    """Scores of every known pair from saved factors, held against those before the round trip."""
     path = _folder(spark, "factors")
     i = V.interactions(spark, d)
-    S.save_factors(*fit_factors(i), path)
-    scored = factor_scores(*S.load_factors(spark, path), i)
-    return scored.select("user_id", "track_id", F.col("score").isNotNull().alias("scored"))
+    users, tracks = (V.once(f) for f in fit_factors(i))
+    S.save_factors(users, tracks, path)
+    after = factor_scores(*S.load_factors(spark, path), i).withColumnRenamed("score", "loaded")
+    both = factor_scores(users, tracks, i).join(after, ["user_id", "track_id"], "full")
+    return both.select("user_id", "track_id", (F.col("score") == F.col("loaded")).alias("same"), (F.col("loaded") != 0).alias("scored"))
 
 
 def stream_recent(spark, d):
@@ -152,6 +183,7 @@ _LOG_SQL = """
 QUERIES = {
     "audio_payload": audio_payload, "artist_payload": artist_payload, "headerless_log": headerless_log, "headered_log": headered_log,
     "table_exports": table_exports, "newest_run": newest_run, "stored_item_model": stored_item_model,
+    "bundle_tracks": bundle_tracks, "bundle_artists": bundle_artists,
     "stored_similarities": stored_similarities, "stored_factors": stored_factors, "stream_recent": stream_recent,
 }
 ORACLES = {
@@ -161,6 +193,15 @@ ORACLES = {
     "artist_payload": """
       SELECT 'A' || s_suppkey AS artist_id, s_name AS name, CASE WHEN s_nationkey > 5 THEN 'folk, n' || s_nationkey ELSE '' END AS genres,
              s_acctbal AS popularity, s_suppkey AS followers_total FROM supplier""",
+    "bundle_tracks": """
+      SELECT 'T' || p_partkey AS track_id, p_name AS track_name, p_brand AS primary_artist_id, CASE WHEN s_suppkey IS NULL THEN '' ELSE 'folk, rock' END AS artist_genres,
+             p_size / 50.0::DOUBLE AS danceability, p_retailprice AS tempo, cast(coalesce(n, 0) AS BIGINT) AS playlist_occurrences,
+             round(coalesce(s_acctbal, 0.0), 6) AS artist_popularity, p_name AS track_url
+      FROM part LEFT JOIN supplier ON 'Brand#' || s_suppkey = p_brand LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""",
+    "bundle_artists": """
+      SELECT coalesce('Brand#' || s_suppkey, p_brand) AS artist_id, coalesce(s_name, '') AS name, CASE WHEN s_suppkey IS NULL THEN '' ELSE 'folk, rock' END AS genres,
+             coalesce(s_suppkey, 0) AS followers_total, coalesce(n, 0) AS track_count, round(coalesce(dance, 0.0), 6) AS avg_danceability, round(coalesce(tempo, 0.0), 5) AS avg_tempo
+      FROM supplier FULL JOIN (SELECT p_brand, count(*) AS n, avg(p_size / 50.0::DOUBLE) AS dance, avg(p_retailprice) AS tempo FROM part GROUP BY 1) ON 'Brand#' || s_suppkey = p_brand""",
     "headerless_log": with_views(_LOG_SQL.format(user="'user_' || user_id")),
     "headered_log": with_views(_LOG_SQL.format(user="user_id")),
     "table_exports": with_views("SELECT user_id, track_id, interaction_strength FROM v_interactions"),
@@ -174,7 +215,7 @@ ORACLES = {
         SELECT a.track_id AS track_a, b.track_id AS track_b, list_dot_product(a.u, b.u) AS s FROM v_unit a JOIN v_unit b ON a.track_id <> b.track_id
         WHERE a.track_id IN (SELECT track_id FROM v_seeds))
       QUALIFY row_number() OVER (PARTITION BY track_a ORDER BY round(s, 9) DESC, track_b) <= 5"""),
-    "stored_factors": with_views("SELECT user_id, track_id, true AS scored FROM v_interactions"),
+    "stored_factors": with_views("SELECT user_id, track_id, true AS same, interaction_strength > 0 AS scored FROM v_interactions"),
     "stream_recent": with_views("""
       SELECT user_id, track_id, epoch_us(ts) AS played_at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, track_id) - 1 AS pos
       FROM (SELECT DISTINCT user_id, track_id, ts FROM v_event_plays) QUALIFY pos < 20"""),

@@ -139,3 +139,14 @@ def test_a_new_checkpoint_adds_and_compaction_may_come_between(spark, tmp_path):
         if k:
             compact_interactions(spark, table)
             assert total() == [(2 * k + 2, 0, 2 * k + 1)]
+
+
+def test_audio_brings_no_duration_into_a_catalog_without_one(spark):
+    audio = spark.createDataFrame([("t1", 0.5, 9)], "track_id string, danceability double, duration_ms int")
+    names = spark.createDataFrame([("t1", "One")], "track_id string, track_name string")
+    for metadata in (names, names.where("false")):
+        out = track_level(metadata, audio)
+        assert "duration_ms" not in out.columns and [r["danceability"] for r in out.collect()] == [0.5]
+    timed = track_level(names.withColumn("duration_ms", F.lit(7)), audio).first()
+    assert timed["duration_ms"] == 7
+    assert track_level(names.withColumn("duration_ms", F.lit(7)).where("false"), audio).first()["duration_ms"] == 9

@@ -6,6 +6,7 @@ from cadenza.operators import normalize as N
 from cadenza.operators.interactions import coverage_stats, listens_to_interactions, matrix_stats, aggregate_strengths, merge_interactions
 from cadenza.operators.catalog import build_catalog
 from cadenza.sources import listens as L
+from cadenza.sources.bundles import curate_bundle
 from cadenza.sources.payloads import playlist_artist_ids, playlist_track_ids, read_payload
 from cadenza.sources.tables import load_item_model, read_newest_run, save_evaluation, save_item_model, write_run, write_table
 
@@ -141,3 +142,24 @@ def test_run_tables_and_model_files(spark, tmp_path):
     assert near.first()["x"] == 1 and inter.first()["x"] == 2
     write_table(a, str(tmp_path / "c"), fmt="csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["x"] == "1"
+
+
+def test_bundle_of_files_to_six_tables(spark, tmp_path):
+    files = {
+        "tracks": {"tracks": [_track("1"), _track("2")]}, "audio_features": {"audio_features": [{"id": "1", "danceability": 0.5}]},
+        "artists": {"artists": [{"id": "B", "name": "Zed", "genres": ["rock"]}]},
+        "playlist": {"playlist_id": "p", "items": [{"track": _track("1")}, {"track": _track("1")}]},
+    }
+    for kind, body in files.items():
+        (tmp_path / f"{kind}.json").write_text(json.dumps(body))
+    paths = {kind: str(tmp_path / f"{kind}.json") for kind in files}
+    out = curate_bundle(spark, paths, str(tmp_path / "out"), "20240101")
+    assert set(out) == {"track_metadata", "audio_features", "artist_metadata", "playlist_tracks", "track_level", "artist_level"}
+    assert {r["track_id"]: r["playlist_occurrences"] for r in out["track_level"].collect()} == {"1": 2, "2": 0}
+    assert out["artist_level"].first()["track_count"] == 2
+    # A later run without metadata takes the audio features as base; both runs stay on disk.
+    later = curate_bundle(spark, {**paths, "tracks": str(tmp_path / "none.json"), "artists": None}, str(tmp_path / "out"), "20240201")
+    assert [r["track_id"] for r in later["track_level"].collect()] == ["1"] and later["artist_metadata"].count() == 0
+    assert {p.name for p in (tmp_path / "out/track_level").iterdir() if p.is_dir()} == {"run_ts=20240101", "run_ts=20240201"}
+    with pytest.raises(ValueError):
+        curate_bundle(spark, {"songs": "x"}, str(tmp_path / "out"), "1")
