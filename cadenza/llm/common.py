@@ -36,6 +36,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``stage``, in buckets of ``key``: joins and groups by it do not move this side again."""
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_folder(spark).rstrip('/')}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018 - resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def plain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
     """(id, text) and no other column, so names of further columns cannot clash with an operator's own."""
     chosen = {"id": id_col, "text": text_col, **more}

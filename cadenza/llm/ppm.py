@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import arrow_schema, crc_mod, plain, slices, stage
+from cadenza.llm.common import arrow_schema, plain, slices, stage, stage_buckets
 
 #: Bytes of context; at most 5, so that a gram fits into 64 bits.
 ORDER = 5
@@ -126,30 +126,55 @@ def _stretches(texts: list[bytes]) -> tuple[list[int], list[bytes]]:
     return of, out
 
 
-def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words in order of appearance, code of each token, its text); the end of a text is the empty word."""
-    import pyarrow.compute as pc
+class _Words:
+    """Codes of the tokens of a batch, some stretches at a time; ``known`` has the distinct words in order of appearance.
 
-    of, parts = _stretches(texts)
-    codes, owner, words = [], [], pa.array([b""], pa.binary())
-    for k in range(0, len(parts), 256):
-        split = pc.ascii_split_whitespace(pa.array(parts[k : k + 256], pa.large_binary()).cast(pa.large_string()))
-        owner.append(np.repeat(np.array(of[k : k + 256]), pc.list_value_length(split).to_numpy()))
-        codes.append(split.flatten().cast(pa.large_binary()))
-    # One dictionary for all chunks; the empty word comes first, white space at the edges makes further ones.
-    encoded = pa.chunked_array([words.cast(pa.large_binary()), *codes]).dictionary_encode().unify_dictionaries()
-    code = np.concatenate([c.indices.to_numpy() for c in encoded.chunks])[1:]
-    owner = np.concatenate(owner)[code > 0]
-    return encoded.chunk(0).dictionary, np.concatenate([code[code > 0], np.zeros(len(texts), code.dtype)]), np.concatenate([owner, np.arange(len(texts))])
+    The end of a text is the empty word, code 0.
+    """
+
+    def __init__(self) -> None:
+        self.known = pa.array([b""], pa.binary())
+
+    def codes(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(code of each token, its text); the ends come last."""
+        import pyarrow.compute as pc
+
+        of, parts = _stretches(texts)
+        ends = np.cumsum([len(p) for p in parts])
+        first = 0
+        while first < len(parts):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 2 * STRETCH, "right")))
+            split = pc.ascii_split_whitespace(pa.array(parts[first:last], pa.binary()).cast(pa.string()))
+            owner = np.repeat(np.array(of[first:last], np.int32), pc.list_value_length(split).to_numpy())
+            chunk = split.flatten().cast(pa.binary()).dictionary_encode()
+            place = pc.index_in(chunk.dictionary, self.known)
+            new = chunk.dictionary.filter(place.is_null())
+            to = place.to_numpy(zero_copy_only=False).astype(float)
+            to[np.isnan(to)] = len(self.known) + np.arange(len(new))
+            if len(new):
+                self.known = pa.concat_arrays([self.known, new])
+            code = to.astype(np.int32)[chunk.indices.to_numpy()]
+            yield code[code > 0], owner[code > 0]
+            first = last
+        yield np.zeros(len(texts), np.int32), np.arange(len(texts), dtype=np.int32)
+
+
+def _word_counts(texts: list[bytes], learns: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of a batch, and how often they occur in learning texts."""
+    words, n = _Words(), np.zeros(0, np.int64)
+    for code, owner in words.codes(texts):
+        more = np.bincount(code[learns[owner]], minlength=len(words.known))
+        more[: len(n)] += n
+        n = more
+    return words.known, n
 
 
 def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.to_pylist():
-            words, code, of = _words(list(_texts(x["sizes"], x["body"])))
-            n = np.bincount(code[np.array(x["learns"])[of]], minlength=len(words)).astype(np.int64)
+            words, n = _word_counts(list(_texts(x["sizes"], x["body"])), np.array(x["learns"], bool))
             for k in range(0, len(words), 100_000):
-                part = words[k : k + 100_000].cast(pa.binary())
+                part = words[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(part), x["batch"])), pa.array(np.arange(k, k + len(part))), part, pa.array(n[k : k + len(part)])],
                     names=["batch", "key", "word", "n"],
@@ -281,19 +306,20 @@ def _score(order: int, size: float, ddl: str):
         cost = _Lookup(key[gram], value[gram])
         count = np.zeros(int((~gram).sum()))
         count[key[~gram]] = value[~gram]
+        log, seen = np.log10((count + ADDED) / size), (count > 0).astype(float)
+        del key, value, gram, count
         out = []
         for x in texts.to_pylist():
             every = list(_texts(x["sizes"], x["body"]))
-            _, code, of = _words(every)
-            sums = np.bincount(of, np.log10((count + ADDED) / size)[code], len(every))
-            total = np.zeros(len(every))
+            n, known, sums, total = (np.zeros(len(every)) for _ in range(4))
+            for code, owner in _Words().codes(every):
+                n += np.bincount(owner, minlength=len(every))
+                known += np.bincount(owner, seen[code], len(every))
+                sums += np.bincount(owner, log[code], len(every))
             for owner, grams in _grams(iter(every), order):
                 total += np.bincount(owner, cost[grams], len(every))
             out.append(pa.Table.from_arrays(
-                [
-                    pa.array(x["ids"], schema[0].type), pa.array(np.bincount(of, minlength=len(every))), pa.array(np.bincount(of[count[code] > 0], minlength=len(every))),
-                    pa.array(sums), pa.array(total),
-                ],
+                [pa.array(x["ids"], schema[0].type), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(sums), pa.array(total)],
                 schema=schema,
             ))
         return pa.concat_tables(out)
@@ -315,19 +341,27 @@ def score(docs: DataFrame, learns: Column, *, id_col: str = "doc_id", text_col:
         raise ValueError("order must be 0 to 5")
     rows = plain(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(learns, F.lit(False)).alias("learns")), "id", "text", learns="learns")
     id_type = rows.schema["id"].dataType.simpleString()
-    texts = stage(_batches(rows, batch_bytes), "ppm-texts")
+    buckets = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = stage_buckets(_batches(rows, batch_bytes), "ppm-texts", "batch", buckets)
+
+    def added_up(asked: DataFrame, key: str) -> DataFrame:
+        """Counts over all batches beside each batch's own row; one row of each key is its first. One shuffle."""
+        same = Window.partitionBy(key)
+        return asked.withColumns({"n": F.sum("n").over(same), "first": F.min("batch").over(same) == F.col("batch")})
 
     asked = texts.mapInArrow(_ask_words, "batch bigint, key bigint, word binary, n bigint")
-    same = Window.partitionBy("word")
-    words = stage(asked.select("batch", "key", F.sum("n").over(same).alias("n"), (F.min("batch").over(same) == F.col("batch")).alias("first")), "ppm-words")
+    words = stage(added_up(asked, "word").drop("word"), "ppm-words")
     found = words.where("first and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
 
-    asked = stage(texts.mapInArrow(_ask_grams(order), "batch bigint, gram bigint, n bigint"), "ppm-grams")
-    counts = stage(asked.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-counts")
+    asked = texts.mapInArrow(_ask_grams(order), "batch bigint, gram bigint, n bigint")
+    grams = stage_buckets(added_up(asked.repartition(buckets, "gram"), "gram"), "ppm-grams", "gram", buckets)
+    counts = grams.where("first").select("gram", "n")
     costs = gram_costs(counts, trie(counts, order), order)
 
     # A count of a word is not negative, the cost of a gram is.
-    answers = words.select("batch", "key", F.col("n").cast("double").alias("value")).unionByName(asked.join(costs, "gram").select("batch", F.col("gram").alias("key"), F.col("cost").alias("value")))
+    answers = words.select("batch", "key", F.col("n").cast("double").alias("value")).unionByName(
+        grams.select("batch", "gram").join(costs, "gram").select("batch", F.col("gram").alias("key"), F.col("cost").alias("value"))
+    )
     ddl = f"doc_id {id_type}, n_tokens bigint, n_known bigint, base_score double, score double"
     size = found["tokens"] + ADDED * (found["distinct"] + 1)
     scored = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(order, size, ddl), ddl)

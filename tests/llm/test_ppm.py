@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,12 +82,18 @@ def test_probabilities_of_a_context_add_up():
 
 def test_long_text_comes_in_stretches(spark, monkeypatch):
     text = " ".join(random.Random(5).choice(["ab", "abc", "é"]) for _ in range(4000)) + "x" * 900
-    whole = ppm._words([text.encode(), b" a "])
-    grams = [g for _, part in ppm._grams(iter([text.encode(), b"a"]), 5) for g in part.tolist()]
+    texts = [text.encode(), b" a ", b""]
+
+    def words():
+        found = ppm._Words()
+        parts = list(found.codes(texts))
+        return found.known.to_pylist(), np.concatenate([c for c, _ in parts]).tolist(), np.concatenate([o for _, o in parts]).tolist()
+
+    whole, grams = words(), [g for _, part in ppm._grams(iter(texts), 5) for g in part.tolist()]
+    assert [whole[0][c] for c in whole[1]] == text.encode().split() + [b"a", b"", b"", b""]
     monkeypatch.setattr(ppm, "STRETCH", 512)
-    cut = ppm._words([text.encode(), b" a "])
-    assert whole[0].to_pylist() == cut[0].to_pylist() and whole[1].tolist() == cut[1].tolist() and whole[2].tolist() == cut[2].tolist()
-    assert grams == [g for _, part in ppm._grams(iter([text.encode(), b"a"]), 5) for g in part.tolist()]
+    assert whole == words()
+    assert grams == [g for _, part in ppm._grams(iter(texts), 5) for g in part.tolist()]
 
 
 def test_defined_results_without_learning_rows(spark):
