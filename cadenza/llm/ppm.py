@@ -30,7 +30,7 @@ END, SYMBOLS = 256, 257
 _BITS = 9
 FOLD = 10
 #: Text bytes of a batch, and of the stretch of it that is worked on at a time.
-BATCH_BYTES, STRETCH = 32 << 20, 2 << 20
+BATCH_BYTES, STRETCH = 24 << 20, 1 << 19
 #: Added to the count of each word of the unigram model.
 ADDED = 0.1
 
@@ -59,7 +59,7 @@ def _batches(rows: DataFrame, limit: int) -> DataFrame:
             number, size = number + 1, 0
             return out
 
-        for part in slices(batches, limit=STRETCH):
+        for part in slices(batches):
             for key, text, learns in zip(*(part.column(c).to_pylist() for c in ("id", "text", "learns"))):
                 body = (text or b"").lower()
                 if size and size + len(body) > limit:
@@ -80,6 +80,19 @@ def _texts(sizes: list[int], body: bytes) -> Iterator[bytes]:
         at += size
 
 
+def _give_back() -> None:
+    """Free memory of a finished batch goes back to the machine, as worker processes live on beside the JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _grams(texts: Iterator[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text of each symbol, its gram), about ``STRETCH`` symbols at a time; long texts come in several stretches."""
     parts: list[np.ndarray] = []
@@ -143,7 +156,7 @@ class _Words:
         ends = np.cumsum([len(p) for p in parts])
         first = 0
         while first < len(parts):
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 2 * STRETCH, "right")))
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 4 * STRETCH, "right")))
             split = pc.ascii_split_whitespace(pa.array(parts[first:last], pa.binary()).cast(pa.string()))
             owner = np.repeat(np.array(of[first:last], np.int32), pc.list_value_length(split).to_numpy())
             chunk = split.flatten().cast(pa.binary()).dictionary_encode()
@@ -198,7 +211,7 @@ def _distinct_grams(x: dict, order: int) -> tuple[np.ndarray, np.ndarray]:
                 value, n = np.unique(part, return_counts=True)
                 waiting.append((value, n * counted))
                 size += len(value)
-        if size > 4 << 20:
+        if size > 2 << 20:
             waiting, size = [merged()], 0
     return merged()
 
@@ -211,6 +224,7 @@ def _ask_grams(order: int):
                 for k in range(0, len(gram), 100_000):
                     part = gram[k : k + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), x["batch"])), pa.array(part), pa.array(n[k : k + len(part)])], names=["batch", "gram", "n"])
+                _give_back()
 
     return run
 
@@ -322,6 +336,8 @@ def _score(order: int, size: float, ddl: str):
                 [pa.array(x["ids"], schema[0].type), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(sums), pa.array(total)],
                 schema=schema,
             ))
+        del cost, log, seen, answers, texts
+        _give_back()
         return pa.concat_tables(out)
 
     return run
@@ -378,7 +394,7 @@ def adaptive_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=STRETCH):
+        for part in slices(batches):
             scores = [_adaptive((t or b"").lower(), order) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores, pa.float64())], schema=schema)
 
