@@ -5,74 +5,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.columns import rank_key
+from cadenza.functions.columns import RANK_DIGITS, rank_key
 from cadenza.plans.skew import salted_join, top_k
 from cadenza.plans.sparse import LONG_ROW, longest_row, sparse_product
-from cadenza.plans.tiles import spread_rows
 
 NEIGHBOURS = 100
 # Tracks of one piece of a history; a longer history is multiplied piece by piece.
 PIECE_TRACKS = 512
-# Products that a task holds before it adds up equal pairs and gives them out.
+# Products of a slot of tracks, which one task adds up; a track with more is dealt to several slots by its listeners.
 HELD_PRODUCTS = 4_000_000
 
 
-def _pair_sums(pieces: DataFrame, held: int) -> DataFrame:
-    """(i, j, s), i < j: partial sums of x[u,i] * x[u,j] over the pieces that a task reads.
+def _slot_sums(dealt: DataFrame, k: int, held: int) -> DataFrame:
+    """(i, j, s) of the slots that a task reads in order: the best ``k`` of a track that has one slot, all sums of another.
 
-    A row is one piece of a history, or two different pieces of the same one (``others``). Products of many
-    rows are added up inside the task, in a buffer of bounded size.
+    A row holds the tracks of one piece of a history that belong to the slot (``own``) and a piece of the same
+    history (``others``).
     """
-    item_type = pieces.schema["cells"].dataType.elementType["track_id"].dataType.simpleString()
+    item_type = dealt.schema["others"].dataType.elementType["track_id"].dataType.simpleString()
 
     def multiply(batches):
         import numpy as np
         import pyarrow as pa
 
-        def flat(column):
+        def flat(table, name):
+            column = table.column(name).combine_chunks()
             values = column.flatten()
-            size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            return values.field("track_id"), values.field("x").to_numpy(zero_copy_only=False), size
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lt, lx, ln = flat(batch.column("cells"))
-            rt, rx, rn = flat(batch.column("others"))
-            ids, code = np.unique(
-                np.concatenate([lt.to_numpy(zero_copy_only=False), rt.to_numpy(zero_copy_only=False)]), return_inverse=True
-            )
-            lc, rc = code[: len(lx)], code[len(lx):]
-            alone = np.repeat(rn == 0, ln)
-            at, row = np.arange(len(lx)), np.repeat(np.arange(len(ln)), ln)
-            l_end, r_start = np.cumsum(ln), np.cumsum(rn) - rn
-            # Each entry meets the later entries of its own piece, or all entries of the other piece.
-            count = np.where(alone, l_end[row] - at - 1, rn[row])
+            return values, column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+        def finish(table):
+            own, on = flat(table, "own")
+            others, rn = flat(table, "others")
+            lt, rt = own.field("track_id"), others.field("track_id")
+            ids, code = np.unique(np.concatenate([lt.to_numpy(zero_copy_only=False), rt.to_numpy(zero_copy_only=False)]), return_inverse=True)
+            lc, rc = code[: len(lt)], code[len(lt):]
+            lx, rx = (v.field("x").to_numpy(zero_copy_only=False) for v in (own, others))
+            row, start = np.repeat(np.arange(len(on)), on), np.cumsum(rn) - rn
+            count = rn[row]
             done = np.cumsum(count)
-            first = 0
-            while first < len(at):
+            pair, total, first = np.zeros(0, np.int64), np.zeros(0), 0
+            while first < len(lc):
                 base = done[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(done, base + held, "right")))
-                part = slice(first, last)
-                n = count[part]
-                a = np.repeat(at[part], n)
-                step = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-                own = alone[a]
-                b = np.where(own, a + 1 + step, r_start[row[a]] + step)
-                j = np.where(own, lc[np.minimum(b, len(lc) - 1)], rc[np.minimum(b, len(rc) - 1)] if len(rc) else 0)
-                y = np.where(own, lx[np.minimum(b, len(lx) - 1)], rx[np.minimum(b, len(rx) - 1)] if len(rx) else 0.0)
-                i = lc[a]
-                key = np.minimum(i, j) * len(ids) + np.maximum(i, j)
+                n = count[first:last]
+                a = np.repeat(np.arange(first, last), n)
+                b = start[row[a]] + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+                apart = lc[a] != rc[b]
+                key = np.concatenate([pair, (lc[a] * len(ids) + rc[b])[apart]])
+                value = np.concatenate([total, (lx[a] * rx[b])[apart]])
                 pair, inverse = np.unique(key, return_inverse=True)
-                total = np.bincount(inverse, weights=lx[a] * y, minlength=len(pair))
-                first = last
-                if len(pair):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[pair // len(ids)], type=lt.type), pa.array(ids[pair % len(ids)], type=lt.type), pa.array(total)],
-                        names=["i", "j", "s"],
-                    )
+                total, first = np.bincount(inverse, weights=value, minlength=len(pair)), last
+            i, j = pair // len(ids), pair % len(ids)
+            split = np.zeros(len(ids), bool)
+            split[lc[own.field("split").to_numpy(zero_copy_only=False)]] = True
+            order = np.lexsort((j, -np.round(total, RANK_DIGITS), i))
+            order = order[(total[order] != 0) | split[i[order]]]
+            i, j, total = i[order], j[order], total[order]
+            starts = np.r_[0, np.flatnonzero(np.diff(i)) + 1] if len(i) else np.zeros(0, int)
+            place = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
+            keep = split[i] | (place < k)
+            i, j, total = i[keep], j[keep], total[keep]
+            return pa.RecordBatch.from_arrays([pa.array(ids[i], type=lt.type), pa.array(ids[j], type=lt.type), pa.array(total)], names=["i", "j", "s"])
+
+        held_back = []  # from the start of the last slot on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot = batch.column("slot").to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(slot)) + 1, len(slot)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if held_back and held_back[-1].column("slot")[0].as_py() != slot[a]:
+                    yield finish(pa.Table.from_batches(held_back))
+                    held_back = []
+                held_back.append(batch.slice(a, b - a))
+        if held_back:
+            yield finish(pa.Table.from_batches(held_back))
 
-    return pieces.mapInArrow(multiply, f"i {item_type}, j {item_type}, s double")
+    return dealt.mapInArrow(multiply, f"i {item_type}, j {item_type}, s double")
 
 
 def item_neighbours(
@@ -80,41 +89,35 @@ def item_neighbours(
 ) -> DataFrame:
     """(track_id, neighbour_id, similarity): cosine of item columns, top k per track, exact.
 
-    One plan for all histories: a history is packed in pieces of about ``piece_tracks`` tracks, a task adds up
-    the products of the pieces (and pairs of pieces) that it reads, and Spark adds the partial sums of each
-    pair of tracks. Nothing is dropped before the whole sum is known; pairs whose sum is zero are no
-    neighbours, negative ones are. Strengths of zero carry no similarity.
+    One plan for all histories: a history is packed in pieces of about ``piece_tracks`` tracks and sent to the slots
+    that its tracks belong to, once for each slot. A slot is a set of tracks with about ``held`` products; its task
+    adds them up and keeps the best ``k`` of each track, so single products never reach a shuffle. The products of a
+    track with more than ``held`` are dealt to several slots by listener; their sums go to Spark whole and are added
+    there. Pairs whose sum is zero are no neighbours, negative ones are. Strengths of zero carry no similarity.
     """
     rows = interactions.select("user_id", "track_id", F.col("interaction_strength").cast("double").alias("r"))
     rows = rows.where(F.col("r") != 0)
-    norms = rows.groupBy("track_id").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("len"))
-    scaled = salted_join(rows, norms, "track_id", spread=["user_id"], how="inner").select(
-        "user_id", "track_id", (F.col("r") / F.col("len")).alias("x")
-    )
-    size = rows.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece_tracks)).cast("int").alias("pieces"))
-    placed = salted_join(scaled, size, "user_id", spread=["track_id"], how="inner").withColumn(
-        "piece", F.pmod(F.xxhash64("track_id"), F.col("pieces")).cast("int")
-    )
-    packed = placed.groupBy("user_id", "pieces", "piece").agg(F.collect_list(F.struct("track_id", "x")).alias("cells"))
-    none = F.lit(None).cast(packed.schema["cells"].dataType)
-    alone = packed.select("cells", none.alias("others"))
-    long = packed.where(F.col("pieces") > 1)
-    left = long.where(F.col("piece") < F.col("pieces") - 1).withColumn(
-        "other", F.explode(F.sequence(F.col("piece") + 1, F.col("pieces") - 1))
+    size = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    sized = salted_join(rows, size, "user_id", spread=["track_id"], how="inner")
+    per_track = sized.groupBy("track_id").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("len"), F.sum("n").alias("products"))
+    parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = size.agg(F.greatest(F.ceil(F.sum(F.col("n") * F.col("n")) / held), F.lit(parallel)).alias("n")).scalar()
+    dealt = per_track.select(
+        "track_id", "len", F.pmod(F.xxhash64("track_id"), F.coalesce(wanted, F.lit(parallel))).alias("base"), F.ceil(F.col("products") / held).alias("slots")
     )
-    right = long.select("user_id", F.col("piece").alias("other"), F.col("cells").alias("others"))
-    crossed = spread_rows(left.join(right, ["user_id", "other"]), "user_id", "piece", "other").select("cells", "others")
-    sums = _pair_sums(alone, held).unionByName(_pair_sums(crossed, held)).groupBy("i", "j").agg(F.sum("s").alias("s"))
-    both = sums.where(F.col("s") != 0).select(
-        F.explode(
-            F.array(
-                F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
-                F.struct(F.col("j").alias("a"), F.col("i").alias("b")),
-            )
-        ).alias("p"),
-        "s",
+    pieces = F.ceil(F.col("n") / F.lit(piece_tracks)).cast("int")
+    placed = salted_join(sized, dealt, "track_id", spread=["user_id"], how="inner").select(
+        "user_id", "track_id", (F.col("r") / F.col("len")).alias("x"), pieces.alias("pieces"), F.pmod(F.xxhash64("track_id"), pieces).cast("int").alias("piece"),
+        F.xxhash64("base", F.when(F.col("slots") > 1, F.pmod(F.xxhash64("user_id"), F.col("slots"))).otherwise(0)).alias("slot"), (F.col("slots") > 1).alias("split"),
     )
-    named = both.select(F.col("p.a").alias("track_id"), F.col("p.b").alias("neighbour_id"), F.col("s").alias("similarity"))
+    # A history is packed once; its pieces meet all its pieces, and of a piece the tracks of one slot travel together.
+    packed = placed.groupBy("user_id", "pieces", "piece").agg(F.collect_list(F.struct("track_id", "x", "slot", "split")).alias("cells"))
+    others = packed.select("user_id", F.col("piece").alias("other"), F.transform("cells", lambda c: F.struct(c["track_id"], c["x"])).alias("others"))
+    own = packed.withColumn("slot", F.explode(F.array_distinct(F.col("cells.slot")))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    own = own.select("user_id", "other", "slot", F.transform(F.filter("cells", lambda c: c["slot"] == F.col("slot")), lambda c: F.struct(c["track_id"], c["x"], c["split"])).alias("own"))
+    met = own.join(others, ["user_id", "other"]).select("slot", "own", "others")
+    sums = _slot_sums(met.repartition(parallel, "slot").sortWithinPartitions("slot"), k, held).groupBy("i", "j").agg(F.sum("s").alias("s")).where(F.col("s") != 0)
+    named = sums.select(F.col("i").alias("track_id"), F.col("j").alias("neighbour_id"), F.col("s").alias("similarity"))
     order = [rank_key(F.col("similarity")).desc(), F.col("neighbour_id")]
     return top_k(named, ["track_id"], order, k).select("track_id", "neighbour_id", "similarity")
 

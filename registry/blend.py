@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions.columns import unit
 from cadenza.operators.candidates import base_pool, pool_candidates
-from cadenza.operators.content import content_table
+from cadenza.operators.content import content_table, seed_profiles
 from cadenza.operators.features import content_features
 from cadenza.operators.hybrid import (
     BlendWeights, advanced_blend, candidate_universe, component_table, exploration_weights, hybrid, priors, user_history,
 )
 from cadenza.operators.neighbours import cf_scores, item_neighbours
+from cadenza.operators.tiled_blend import tiled_lists
 from registry import collaborative, content  # noqa: F401  (define the SQL views used below)
 from registry import views as V
 from registry.sql import view, with_views
@@ -27,7 +29,13 @@ def _tables(spark, d):
 
 
 def hybrid_topk(spark, d):
-    ranked = hybrid(_tables(spark, d)[2], exploration_weights(0.35), k=10)
+    i, t = V.once(V.interactions(spark, d)), V.once(V.curated(spark, d))
+    features, names = content_features(t)
+    features, pool = V.once(features), base_pool(t).select("track_id")
+    profiles = seed_profiles(features, i, len(names)).select("user_id", unit(F.col("profile")).alias("content"))
+    tracks = features.join(pool, "track_id", "left_semi").select("track_id", unit(F.col("features")).alias("content")).join(priors(t), "track_id", "left")
+    cf = cf_scores(i, item_neighbours(i), pool)
+    ranked = tiled_lists(profiles, tracks, i.select("user_id", "track_id"), models=["hybrid"], weights=exploration_weights(0.35), k=10, collaborative=cf)
     parts = ["score", "collaborative", "content", "novelty", "popularity_prior", "discovery"]
     return ranked.select(
         "user_id", "track_id", *[F.round(c, 6).alias(c) for c in parts], "cold_start", F.col("rank").cast("long").alias("rank")
