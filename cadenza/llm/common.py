@@ -62,6 +62,19 @@ def crc_mod(id_col: Column, m: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(m))
 
 
+def give_back() -> None:
+    """Return the memory of finished work to the machine: worker processes live on beside the JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of at most ``limit`` bytes of ``column``, or of one row where that row is longer."""
     import numpy as np

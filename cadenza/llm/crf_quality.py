@@ -20,6 +20,8 @@ from cadenza.llm.common import arrow_schema, crc_mod, plain, slices
 
 #: Learning documents of each label at most; of more labelled rows a hash of the id picks about as many.
 SAMPLE = 1500
+#: Lines that one document teaches at most: evenly spread stretches, each of so many lines.
+STRETCHES, LINES = 8, 32
 FOLD = 5
 CUT = 0.3
 
@@ -171,10 +173,24 @@ def fit(x: np.ndarray, weight: np.ndarray, counts: np.ndarray, quality: np.ndarr
     return field
 
 
+def spread_lines(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the lines that teach, lines of each text): all of a short text, evenly spread stretches of a long one."""
+    start, out, kept = np.concatenate([[0], np.cumsum(counts)[:-1]]), [], []
+    for a, n in zip(start.tolist(), counts.tolist()):
+        at = np.arange(n)
+        if n > STRETCHES * LINES:
+            at = (np.linspace(0, n - LINES, STRETCHES).astype(int)[:, None] + np.arange(LINES)).ravel()
+        out.append(a + at)
+        kept.append(len(at))
+    return np.concatenate(out) if out else np.zeros(0, int), np.array(kept, int)
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = FOLD, sample: int = SAMPLE) -> LineField:
     """A field from the labelled rows whose crc32(id as text) mod ``fold`` is not 0, about ``sample`` of each label.
 
-    Rows with a null id or label teach nothing; with fewer than two labels the field keeps its start values, with
+    Of a document at most ``STRETCHES`` stretches of ``LINES`` lines teach, which are taken as neighbours; of rows
+    that repeat an id the one whose text has the smallest hash, of labels the smallest. Rows with a null id or label
+    teach nothing; with fewer than two labels the field keeps its start values, with
     which every text scores alike.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
@@ -184,15 +200,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return LineField(np.zeros(3 * OWN), np.zeros((2, 2)))
     rank = F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1_000_000))
     share = F.when(F.col("label") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
-    chosen = known.where(rank < share * 1_000_000).groupBy("id").agg(F.min("label").alias("label")).limit(4 * sample)
-    rows = plain(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("label", "text")
+    chosen = known.where(rank < share * 1_000_000).groupBy("id").agg(F.min("label").alias("label"))
+    rows = plain(docs, id_col, text_col).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("label", "text")
     ddl = "label int, lines int, x binary, weight binary"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             x, weight, counts = line_features([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
-            at = np.cumsum(counts)[:-1]
+            at, counts = spread_lines(counts)
+            x, weight, at = x[at], weight[at], np.cumsum(counts)[:-1]
             yield pa.RecordBatch.from_arrays(
                 [part.column("label"), pa.array(counts, pa.int32()), *(pa.array([p.tobytes() for p in np.split(v, at)], pa.binary()) for v in (x, weight))], schema=schema
             )

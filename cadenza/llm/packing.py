@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import arrow_schema, plain, slices
+from cadenza.llm.common import arrow_schema, give_back, plain, slices
 
 END = 1
+#: Bytes of a cache entry beside its two texts; of text that is tokenised at a time; of ids that wait for output.
+ENTRY, SLICE, READY = 180, 2 << 20, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -26,8 +29,23 @@ class Limits:
     loss: int = 2048
 
 
+# The form of the vocabulary whose texts ``ChunkTokenizer`` cuts itself.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+FORM = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+)
+
+
 class ChunkTokenizer:
-    """Token ids of whole texts as little-endian bytes; what was encoded before is looked up.
+    """Token ids of whole texts as little-endian bytes; pieces encoded before are looked up in ``kept`` bytes of cache.
 
     The vocabulary never merges across a space or a line end, so a text's ids are those of its chunks in order,
     and a chunk's ids are those of the pieces that the vocabulary's own pattern cuts. Chunks of characters below
@@ -35,18 +53,23 @@ class ChunkTokenizer:
     other chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, *, cached: int = 600_000, longest: int = 64) -> None:
+    def __init__(self, path: str, *, kept: int = 24 << 20, longest: int = 64) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.longest = Tokenizer.from_file(path), cached, longest
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        marked = all("<|" in token["content"] for token in form["added_tokens"])
+        #: Whether texts can be cut here; a vocabulary of any other form goes through its own tokenizer whole.
+        self.cuts = marked and (form["normalizer"], form["pre_tokenizer"], form["post_processor"]) == FORM
+        self.tokenizer, self.kept, self.longest = Tokenizer.from_file(path), kept, longest
         self.model = self.tokenizer.model
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.cut = regex.compile(PATTERN).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
@@ -55,6 +78,7 @@ class ChunkTokenizer:
             got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(piece) <= self.longest:
                 self.pieces[piece] = got
+                self.held += ENTRY + len(piece) + len(got)
         return got
 
     def _chunk(self, chunk: str) -> bytes:
@@ -83,22 +107,18 @@ class ChunkTokenizer:
 
     def forget(self) -> None:
         """Give the cached pieces back, so that an idle worker process holds the vocabulary only."""
-        self.chunks.clear()
         self.pieces.clear()
+        self.held = 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        for cache in (self.chunks, self.pieces):
-            if len(cache) > self.cached:
-                cache.clear()
+        if not self.cuts:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if self.held > self.kept:
+            self.forget()
         split = [self._folded(t).replace("\n", " ").split(" ") for t in texts]
-        known = self.chunks
-        new = set(chain.from_iterable(split)).difference(known)
-        known.update(zip(new, map(self._chunk, new)))
-        out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for chunks in split]
-        for chunk in new:
-            if len(chunk) > self.longest:
-                del known[chunk]
-        return out
+        chunks = set(chain.from_iterable(split))
+        known = dict(zip(chunks, map(self._chunk, chunks)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in split]
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -219,19 +239,24 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
         ready: list[tuple] = []
-        for part in slices(batches):
+        size = 0
+        for part in slices(batches, limit=SLICE):
             texts = [t or "" for t in part.column("text").to_pylist()]
             prompts = encode.ids([p or "" for p in part.column("prompt").to_pylist()]) if prompt_col else None
             for k, (doc, ids) in enumerate(zip(part.column("id").to_pylist(), encode.ids(texts))):
                 before = prompts[k] if prompts else ids[:0]
-                ready += packer.add(doc, np.concatenate([before, ids, np.array([END], "<u4")]), len(before))
-            if len(ready) > 2000:
-                yield batch(ready)
-                ready = []
+                for piece in packer.add(doc, np.concatenate([before, ids, np.array([END], "<u4")]), len(before)):
+                    ready.append(piece)
+                    size += ENTRY + piece[2].nbytes
+                    if size > READY:
+                        yield batch(ready)
+                        ready, size = [], 0
         encode.forget()
         ready += packer.drain()
         if ready:
             yield batch(ready)
+        del ready, packer
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

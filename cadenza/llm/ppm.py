@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import arrow_schema, plain, slices, stage, stage_buckets
+from cadenza.llm.common import arrow_schema, give_back, plain, slices, stage, stage_buckets
 
 #: Bytes of context; at most 5, so that a gram fits into 64 bits.
 ORDER = 5
@@ -80,19 +80,6 @@ def _texts(sizes: list[int], body: bytes) -> Iterator[bytes]:
         at += size
 
 
-def _give_back() -> None:
-    """Free memory of a finished batch goes back to the machine, as worker processes live on beside the JVM."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def _grams(texts: Iterator[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text of each symbol, its gram), about ``STRETCH`` symbols at a time; long texts come in several stretches."""
     parts: list[np.ndarray] = []
@@ -224,7 +211,7 @@ def _ask_grams(order: int):
                 for k in range(0, len(gram), 100_000):
                     part = gram[k : k + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), x["batch"])), pa.array(part), pa.array(n[k : k + len(part)])], names=["batch", "gram", "n"])
-                _give_back()
+                give_back()
 
     return run
 
@@ -337,7 +324,7 @@ def _score(order: int, size: float, ddl: str):
                 schema=schema,
             ))
         del cost, log, seen, answers, texts
-        _give_back()
+        give_back()
         return pa.concat_tables(out)
 
     return run

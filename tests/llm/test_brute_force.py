@@ -41,6 +41,20 @@ def test_tokens_are_those_of_the_whole_tokenizer():
         assert own.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_another_vocabulary_goes_through_its_own_tokenizer():
+    own = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not own.cuts and packing.tokenizer(public_tokenizers.path("word_bpe_49k.json")).cuts
+    texts = ["", "It's O'Neil  and\n\ntwo lines", "日本語 é 12"]
+    assert [i.tolist() for i in own.ids(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_cache_of_pieces_is_bounded():
+    own = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"), kept=20_000)
+    texts = [" ".join(f"w{a}x{b}" for b in range(30)) for a in range(40)]
+    assert [i.tolist() for t in texts for i in own.ids([t])] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.held < 40_000
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(64, 3, 64), packing.Limits(64, 8, 20), packing.Limits(128, 256, 128)])
 def test_packing_round_trip_and_limits(spark, limits):
     path = public_tokenizers.path("word_bpe_49k.json")

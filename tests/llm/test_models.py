@@ -89,3 +89,17 @@ def test_windows_run_on_into_what_follows():
     text = bytes(range(65, 91)) * 20
     windows, counts = language_id.cut([text, b"zz"], 256)
     assert bytes(windows[0]) == text[:259] and bytes(windows[counts[0]]) == b"zz" + b" " * 257
+
+
+def test_long_and_repeated_documents_teach_a_bounded_number_of_lines(spark):
+    at, kept = crf_quality.spread_lines(np.array([3, 0, 1000, 256]))
+    assert kept.tolist() == [3, 0, 256, 256] and at[:3].tolist() == [0, 1, 2] and at[3] == 3 and at[258] == 1002 and len(set(at.tolist())) == len(at)
+    good = "\n".join(f"this is a plain line of words number {i}" for i in range(40))
+    bad = "\n".join("$$$ BUY NOW !!! $$$ ||| ***" for _ in range(40))
+    rows = [(i, good if i % 2 else bad) for i in range(40)] + [(1, bad), (1, good), (None, bad)]
+    labels = [(i, i % 2) for i in range(40)] + [(1, 0), (1, 1), (2, None), (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = crf_quality.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    again = crf_quality.learn(docs.repartition(3), spark.createDataFrame(labels[::-1], "doc_id long, quality int"))
+    assert np.allclose(field.weights, again.weights, atol=1e-6)
+    assert field.scores([good.encode()])[0] > 0.5 > field.scores([bad.encode()])[0]
