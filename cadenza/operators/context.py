@@ -29,7 +29,7 @@ def build_sequences(
     """(group_id, pos, track_id): ordered tracks per playlist or user, vocabulary-filtered.
 
     Ties in time are broken by track id. Positions count the kept tracks only, so that later distances
-    skip the dropped ones. A listener with a third of all rows is numbered slice by slice.
+    skip the dropped ones. A listener with a third of all rows, or a burst at one time, is numbered range by range.
     """
     key = playlist if playlist and playlist in rows.columns else group
     kept = rows.where(~is_blank(F.col("track_id").cast("string")))
@@ -45,7 +45,7 @@ def build_sequences(
         kept = kept.withColumn("_ts", source.cast("timestamp"))
         ties = ["track_id"]
     slim = kept.select(F.col(key).alias("group_id"), "_ts", *dict.fromkeys(ties))
-    return positions_by_time(slim, "group_id", "_ts", ties, chunk_rows=CHUNK_ROWS).select("group_id", "pos", "track_id")
+    return positions_by_time(slim, "group_id", "_ts", ties).select("group_id", "pos", "track_id")
 
 
 def cooccurrence(sequences: DataFrame, *, window: int = 2, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

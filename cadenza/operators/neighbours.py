@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.columns import RANK_DIGITS, rank_key
 from cadenza.plans.skew import salted_join, top_k
-from cadenza.plans.sparse import LONG_ROW, longest_row, sparse_product
+from cadenza.plans.sparse import PIECE_ENTRIES, sparse_product
 
 NEIGHBOURS = 100
 # Tracks of one piece of a history; a longer history is multiplied piece by piece.
@@ -122,7 +122,7 @@ def item_neighbours(
     return top_k(named, ["track_id"], order, k).select("track_id", "neighbour_id", "similarity")
 
 
-def _product(interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | None, k: int | None, long_row: int) -> DataFrame:
+def _product(interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | None, k: int | None, piece_entries: int) -> DataFrame:
     """History x neighbour lists (at most k entries each), own tracks left out."""
     if pool is not None:
         # Neighbour lists are final by now, so cutting them to the pool first gives the same scores.
@@ -135,24 +135,23 @@ def _product(interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | N
         F.col("user_id").alias("row"), F.col("track_id").alias("link"),
         F.col("interaction_strength").cast("double").alias("weight"),
     )
-    longest = longest_row(interactions, "user_id")
-    out = sparse_product(rows, lists, k=k, exclude_links=True, long_row=long_row, longest=longest)
+    out = sparse_product(rows, lists, k=k, exclude_links=True, piece_entries=piece_entries)
     return out.withColumnRenamed("row", "user_id").withColumnRenamed("col", "track_id")
 
 
 def cf_scores(
-    interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | None = None, *, long_row: int = LONG_ROW
+    interactions: DataFrame, neighbours: DataFrame, pool: DataFrame | None = None, *, piece_entries: int = PIECE_ENTRIES
 ) -> DataFrame:
     """(user_id, track_id, score): positive scores of unseen tracks, optionally inside a pool.
 
     The score is the sum of strength x similarity over the user's history; an unknown user gets no rows.
     """
-    return _product(interactions, neighbours, pool, None, long_row)
+    return _product(interactions, neighbours, pool, None, piece_entries)
 
 
 def cf_topk(
     interactions: DataFrame, neighbours: DataFrame, *, k: int = 10, pool: DataFrame | None = None,
-    long_row: int = LONG_ROW,
+    piece_entries: int = PIECE_ENTRIES,
 ) -> DataFrame:
     """Top k of the same scores per user."""
-    return _product(interactions, neighbours, pool, k, long_row)
+    return _product(interactions, neighbours, pool, k, piece_entries)

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cadenza.session import ensure_checkpoint_dir
+
+
 def salted_join(
     facts: DataFrame,
     per_key: DataFrame,
@@ -31,50 +34,27 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def positions_by_time(
-    rows: DataFrame, key: str, ts: str, tie: Sequence[str], *, chunk_rows: int = 4096, position: str = "pos"
-) -> DataFrame:
-    """0-based position of each row within its key by (ts, tie), without one task per key.
+def positions_by_time(rows: DataFrame, key: str, ts: str, tie: Sequence[str], *, parts: int | None = None, position: str = "pos") -> DataFrame:
+    """0-based position of each row within its key by (ts, tie), without one task per key or time.
 
-    The time span of a key is cut into equal slices, one per ``chunk_rows`` rows. Rows are numbered
-    inside (key, slice) and the slice offsets come from a running count over the few slices.
-    Null times come first, as in an ascending sort.
+    All rows are sorted by (key, ts, tie) in ranges of like size, so a key, and also a burst of rows at one time, is
+    cut into as many ranges as it needs; equal rows may be cut too. The sorted rows are written once to the shared
+    folder. Each gets its place in its range plus the rows of its key in the ranges before, a running sum
+    over one small row for each key and range. Null times come first, as in an ascending sort.
     """
-    micros = F.coalesce(F.unix_micros(ts), F.lit(-(2**62)))
-    span = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.unix_micros(ts)).alias("_lo"),
-        F.max(F.unix_micros(ts)).alias("_hi"),
-    )
-    slices = F.ceil(F.col("_n") / F.lit(chunk_rows))
-    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / slices), F.lit(1))
-    sliced = salted_join(rows, span, key, spread=[ts, *tie], how="inner").withColumn(
-        "_slice",
-        F.when(F.col(ts).isNull(), F.lit(-1).cast("long")).otherwise(
-            F.floor((micros - F.col("_lo")) / width).cast("long")
-        ),
-    )
-    offsets = (
-        sliced.groupBy(key, "_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn(
-            "_offset",
-            F.coalesce(
-                F.sum("_rows").over(
-                    W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-                ),
-                F.lit(0).cast("long"),
-            ),
-        )
-        .select(key, "_slice", "_offset")
-    )
-    inside = W.partitionBy(key, "_slice").orderBy(ts, *tie)
-    return (
-        sliced.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [key, "_slice"])
-        .withColumn(position, F.col("_offset") + F.col("_rn") - 1)
-        .drop("_n", "_lo", "_hi", "_slice", "_rn", "_offset")
+    ensure_checkpoint_dir(rows.sparkSession)
+    count = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(key).asc_nulls_first(), F.col(ts).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in tie), F.col("_even")]
+    dealt = rows.withColumn("_even", F.monotonically_increasing_id()).repartitionByRange(count, *order).sortWithinPartitions(*order)
+    placed = dealt.drop("_even").withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    runs = placed.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("long"))).select(
+        F.col(key).alias("_key"), F.col("_range").alias("_of"), "_before", "_first"
     )
+    joined = placed.join(runs, placed[key].eqNullSafe(runs["_key"]) & (F.col("_range") == F.col("_of")))
+    return joined.withColumn(position, F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_range", "_key", "_of", "_before", "_first")
 
 
 def dense_index(ids: DataFrame, column: str, *, buckets: int = 4096, index: str = "idx") -> DataFrame:

@@ -8,15 +8,10 @@ from pyspark.sql import types as T
 
 from cadenza.functions.columns import RANK_DIGITS, rank_key
 from cadenza.plans.skew import salted_join, top_k
+from cadenza.session import ensure_checkpoint_dir
 
-# A row with more entries than this is summed by Spark in pieces instead of inside one task.
-LONG_ROW = 4096
-
-
-def longest_row(rows: DataFrame, key: str) -> int:
-    """Rows of the most frequent key: one small aggregate that decides between plans."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+# Entries of a row that are summed together; a longer row is dealt in pieces of about so many.
+PIECE_ENTRIES = 4096
 
 
 def sparse_product(
@@ -26,31 +21,26 @@ def sparse_product(
     k: int | None,
     exclude_links: bool = False,
     exclude_self: bool = False,
-    long_row: int = LONG_ROW,
-    longest: int | None = None,
+    piece_entries: int = PIECE_ENTRIES,
 ) -> DataFrame:
     """(row, col, score[, rank]): sum over the row's links of weight x value, positive sums, best k.
 
     ``rows`` is (row, link, weight) and ``lists`` (link, cells array<struct<col, v>>) with bounded
     arrays. ``exclude_links`` drops columns that the row itself links to, ``exclude_self`` the column
-    equal to the row. Rows of ordinary length arrive whole and sorted in a task, which sums them, ranks
-    them and emits k; so the expanded products never reach a shuffle. Longer rows are expanded,
-    aggregated and ranked by Spark, split over all tasks. Both paths give the same sums. A known
-    ``longest`` row leaves out the second path when nothing needs it.
+    equal to the row. One plan for all rows: a row is dealt in pieces of about ``piece_entries`` entries, and
+    a task adds up the products of each piece, so single products never reach a shuffle. A row of one piece
+    is ranked where it was summed and gives k rows; the sums of a row of several pieces are added by Spark.
     """
     row_type, col_type = rows.schema["row"].dataType, lists.schema["cells"].dataType.elementType["col"].dataType
-    split = longest is None or longest > long_row
-    short = long = rows
-    if split:
-        long_rows = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long_row).select("row")
-        short = rows.join(long_rows, "row", "left_anti")
-        long = rows.join(long_rows, "row", "left_semi")
-
+    ensure_checkpoint_dir(rows.sparkSession)
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = salted_join(short, lists, "link", spread=["row"])
-    ready = packed.repartition(parts, "row").sortWithinPartitions("row").select("row", "link", "weight", "cells")
+    pieces = rows.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece_entries)).cast("int").alias("pieces"))
+    placed = salted_join(rows, pieces, "row", spread=["link"], how="inner").withColumn("piece", F.pmod(F.xxhash64("link"), F.col("pieces")).cast("int"))
+    packed = salted_join(placed, lists, "link", spread=["row"])
+    ready = packed.repartition(parts, "row", "piece").sortWithinPartitions("row", "piece")
+    ready = ready.select("row", "piece", "link", "weight", "cells", (F.col("pieces") > 1).alias("split"))
     out = T.StructType(
-        [T.StructField("row", row_type), T.StructField("col", col_type), T.StructField("score", T.DoubleType())]
+        [T.StructField("row", row_type), T.StructField("col", col_type), T.StructField("score", T.DoubleType()), T.StructField("split", T.BooleanType())]
     )
     digits = RANK_DIGITS
 
@@ -65,7 +55,9 @@ def sparse_product(
             cells = table.column("cells").combine_chunks()
             weight = table.column("weight").to_numpy()
             row_values = row_ids.to_numpy(zero_copy_only=False)
-            first = np.r_[0, np.nonzero(row_values[1:] != row_values[:-1])[0] + 1]
+            piece = table.column("piece").to_numpy()
+            first = np.r_[0, np.nonzero((row_values[1:] != row_values[:-1]) | (piece[1:] != piece[:-1]))[0] + 1]
+            split = table.column("split").to_numpy()[first]
             code = np.zeros(len(row_values), dtype=np.int64)
             code[first[1:]] = 1
             code = np.cumsum(code)
@@ -81,14 +73,14 @@ def sparse_product(
             count = len(first) * width
             if count <= 8 * len(key) + 1_000_000:
                 sums = np.bincount(key, weights=value, minlength=count)
-                hit = np.nonzero(sums > 0)[0]
+                hit = np.nonzero(sums)[0]
                 sums = sums[hit]
             else:
                 hit, at = np.unique(key, return_inverse=True)
                 sums = np.bincount(at, weights=value)
-                hit, sums = hit[sums > 0], sums[sums > 0]
             r, c = hit // width, hit % width
-            keep = np.ones(len(hit), dtype=bool)
+            part = split[r]  # sums of a piece: nothing is decided yet
+            keep = (sums > 0) | part
             if exclude_links:
                 links = link_ids.to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(col_values, links), width - 1)
@@ -96,21 +88,22 @@ def sparse_product(
                 banned = np.sort(code[same] * width + at[same])
                 if len(banned):
                     spot = np.minimum(np.searchsorted(banned, hit), len(banned) - 1)
-                    keep &= banned[spot] != hit
+                    keep &= (banned[spot] != hit) | part
             if exclude_self:
-                keep &= col_values[c] != row_values[first][r]
+                keep &= (col_values[c] != row_values[first][r]) | part
             r, c, sums = r[keep], c[keep], sums[keep]
             if k is not None and len(r):
                 order = np.lexsort((c, -np.round(sums, digits), r))
                 r, c, sums = r[order], c[order], sums[order]
                 starts = np.r_[0, np.nonzero(np.diff(r))[0] + 1]
                 place = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
-                r, c, sums = r[place < k], c[place < k], sums[place < k]
+                best = (place < k) | split[r]
+                r, c, sums = r[best], c[best], sums[best]
             if not len(r):
                 return None
             return pa.RecordBatch.from_arrays(
-                [row_ids.take(pa.array(first[r])), pa.array(col_values[c], type=cols.type), pa.array(sums)],
-                names=["row", "col", "score"],
+                [row_ids.take(pa.array(first[r])), pa.array(col_values[c], type=cols.type), pa.array(sums), pa.array(split[r])],
+                names=out.names,
             )
 
         rest = None
@@ -120,11 +113,9 @@ def sparse_product(
             table = pa.Table.from_batches([batch])
             if rest is not None:
                 table = pa.concat_tables([rest, table])
-            ids = table.column("row")
-            last = ids[len(ids) - 1]
-            cut = len(ids) - 1
-            while cut > 0 and ids[cut - 1] == last:
-                cut -= 1
+            ids, piece = table.column("row"), table.column("piece").to_numpy()
+            same = (ids.to_numpy() == ids[len(ids) - 1].as_py()) & (piece == piece[-1])
+            cut = int(np.argmax(same))
             rest = table.slice(cut)
             if cut:
                 result = finish(table.slice(0, cut))
@@ -135,22 +126,15 @@ def sparse_product(
             if result is not None:
                 yield result
 
-    quick = ready.mapInArrow(multiply, out)
-    if not split:
-        if k is None:
-            return quick
-        # Every row was ranked whole, so its rows already are the best k; only the rank is missing.
-        return top_k(quick, ["row"], [rank_key(F.col("score")).desc(), F.col("col")], k)
-
-    cells = salted_join(long, lists, "link", spread=["row"], how="inner")
-    expanded = cells.select("row", "weight", F.explode("cells").alias("c"))
-    slow = expanded.groupBy("row", F.col("c.col").alias("col")).agg(F.sum(F.col("weight") * F.col("c.v")).alias("score"))
-    slow = slow.where(F.col("score") > 0)
+    # Written once: rows of one piece pass on, those of several pieces are read for their sums.
+    made = ready.mapInArrow(multiply, out).checkpoint()
+    whole = made.where(~F.col("split")).drop("split")
+    sums = made.where("split").groupBy("row", "col").agg(F.sum("score").alias("score")).where(F.col("score") > 0)
     if exclude_self:
-        slow = slow.where(F.col("row") != F.col("col"))
+        sums = sums.where(F.col("row") != F.col("col"))
     if exclude_links:
-        slow = slow.join(long.select("row", F.col("link").alias("col")), ["row", "col"], "left_anti")
-    both = quick.unionByName(slow)
+        sums = sums.join(rows.select("row", F.col("link").alias("col")), ["row", "col"], "left_anti")
+    both = whole.unionByName(sums)
     if k is None:
         return both
     return top_k(both, ["row"], [rank_key(F.col("score")).desc(), F.col("col")], k)

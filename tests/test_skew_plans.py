@@ -61,14 +61,14 @@ def test_item_neighbours_of_pieces(spark, piece_tracks, held, signs):
         assert [s for _, s in have] == pytest.approx([s for _, s in want[a]])
 
 
-@pytest.mark.parametrize("long_row", [4096, 3])
-def test_cf_topk_every_path(spark, long_row):
+@pytest.mark.parametrize("piece_entries", [4096, 3])
+def test_cf_topk_every_path(spark, piece_entries):
     rows = _hot_interactions()
     del rows[("hot", 3)], rows[("hot", 4)]
     df = spark.createDataFrame([(u, i, float(v)) for (u, i), v in rows.items()], "user_id string, track_id long, interaction_strength double")
     near = item_neighbours(df, k=6)
     got = defaultdict(list)
-    for r in cf_topk(df, near, k=4, long_row=long_row).orderBy("user_id", "rank").collect():
+    for r in cf_topk(df, near, k=4, piece_entries=piece_entries).orderBy("user_id", "rank").collect():
         got[r["user_id"]].append((r["track_id"], r["score"]))
     lists = _brute_neighbours(rows, 6)
     for user in {u for u, _ in rows}:
@@ -110,7 +110,7 @@ def test_positions_of_a_hot_user(spark):
     rng = random.Random(1)
     rows = [("hot", rng.randint(0, 500), t) for t in range(300)] + [("a", 5, 1), ("a", 5, 0), ("b", None, 9)]
     df = spark.createDataFrame(rows, "user string, sec int, track int").selectExpr("user", "timestamp_seconds(sec) AS ts", "track")
-    out = positions_by_time(df, "user", "ts", ["track"], chunk_rows=16)
+    out = positions_by_time(df, "user", "ts", ["track"], parts=16)
     got = {(r["user"], r["ts"], r["track"]): r["pos"] for r in out.collect()}
     assert len(got) == len(set(rows))
     for user in ("hot", "a", "b"):
@@ -118,6 +118,18 @@ def test_positions_of_a_hot_user(spark):
         assert [got[k] for k in mine] == list(range(len(mine)))
 
 
+def test_a_burst_at_one_time_is_spread_over_tasks(spark, tmp_path):
+    rows = spark.range(0, 30_000, 1, 4).selectExpr("'hot' AS user", "timestamp_seconds(CASE WHEN id < 24000 THEN 7 ELSE id END) AS ts", "id % 20000 AS track")
+    out = positions_by_time(rows.unionByName(spark.sql("SELECT cast(null AS string) AS user, timestamp_seconds(1) AS ts, 3L AS track")), "user", "ts", ["track"], parts=12)
+    got = out.where("user = 'hot'").orderBy("pos").collect()
+    assert [r["pos"] for r in got] == list(range(30_000))
+    assert [(r["ts"], r["track"]) for r in got] == sorted((r["ts"], r["track"]) for r in got)
+    assert out.where("user IS NULL").first()["pos"] == 0
+    out.write.parquet(str(tmp_path / "p"))  # ranges keep their size
+    sizes = spark.read.parquet(str(tmp_path / "p")).groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in sizes) < 10_000
+
+
 def test_cooccurrence_across_chunks(spark):
     rng = random.Random(2)
     seq = [rng.randint(0, 6) for _ in range(50)]
