@@ -50,14 +50,33 @@ def closest_features(mood: str) -> Column:
     return F.transform(F.slice(F.array_sort(rows), 1, 2), lambda r: r["n"])
 
 
+# Places of one padded matrix of lists.
+MATRIX_PLACES = 1 << 20
+
+
+def similar_lists(batches, column: str, places: int = MATRIX_PLACES):
+    """The rows of Arrow batches regrouped by the length of their list, so that padding at most doubles it; empty lists are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        size = batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        width = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+        for w in np.unique(width[size > 0]).tolist():
+            own = np.flatnonzero((width == w) & (size > 0))
+            step = max(1, places // w)
+            for s in range(0, len(own), step):
+                yield batch.take(pa.array(own[s : s + step]))
+
+
 def sequence_playlist(
     candidates: DataFrame, mood: str, *, max_items: int, playlist: str = "user_id", order: str = "track_id"
 ) -> DataFrame:
     """(playlist, position, track_id, mood_relevance, diversity, transition, score) per playlist.
 
     The opener fits the mood best (ties by id). Every next track has the best
-    0.6 x mood + 0.2 x diversity + 0.2 x smoothness, the first in ``order`` on ties. One playlist's
-    candidates are a ranked list of bounded length; many playlists share one matrix per Arrow batch.
+    0.6 x mood + 0.2 x diversity + 0.2 x smoothness, the first in ``order`` on ties. Playlists of like
+    length share one matrix of bounded size; a long list is a matrix of its own, so memory is linear in it.
     """
     profile = sequencing_profile(mood)
     tempo_step, energy_step = profile["tempo_step"], profile["energy_step"]
@@ -82,11 +101,11 @@ def sequence_playlist(
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in similar_lists(batches, "c"):
             lists_col = batch.column("c")
             cells = lists_col.flatten()
             sizes = np.diff(lists_col.offsets.to_numpy())
-            if not len(cells) or max_items <= 0:
+            if max_items <= 0:
                 continue
             n, width = len(sizes), int(sizes.max())
             starts = np.r_[0, np.cumsum(sizes)[:-1]]

@@ -1,10 +1,12 @@
 """Re-score and reorder candidate lists: profile boosts, artist repetition, focus controls, diversity, buckets.
 
-Every list here is one user's candidates, bounded by the candidate stage (80) or the requested length.
+Lists are one user's candidates. The candidate stage bounds them (80); the diversity order also takes long ones.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,104 +148,107 @@ def adjust_scores(
     return penalize_artist(adjusted, penalty=0.55 * factor * float(exploration)).drop("artist_penalty")
 
 
+def greedy_order(fixed, artist, source, ids, *, cap: int, penalty: float, source_bonus: float, steps: int) -> list[tuple[int, float]]:
+    """(row, value) of each step, rows being sorted by falling ``fixed`` and id; artist and source are codes, -1 for none.
+
+    The value of a run's head is its fixed part, less the penalty for each earlier row of its artist, plus the bonus
+    while its source is new. Values only fall, so a heap entry that is out of date is put back with its present
+    value, and the first one that is right wins. Runs of an artist at the cap wait in a heap of their own, which is
+    used only when no other run is left.
+    """
+    runs: dict[tuple[int, int], list[int]] = {}
+    for row, key in enumerate(zip(artist.tolist(), source.tolist())):
+        runs.setdefault(key, []).append(row)
+    for run in runs.values():
+        run.reverse()
+    fixed, ids = fixed.tolist(), ids.tolist()
+    repeats: dict[int, int] = {}
+    used: set[int] = set()
+
+    def entry(key: tuple[int, int]) -> tuple[float, int, float, tuple[int, int]]:
+        own, src = key
+        row = runs[key][-1]
+        value = fixed[row] + source_bonus * (src >= 0 and src not in used) - penalty * (repeats.get(own, 0) if own >= 0 else 0)
+        return -round(value, RANK_DIGITS), ids[row], value, key
+
+    free, waiting = [entry(key) for key in runs], []
+    heapq.heapify(free)
+    out: list[tuple[int, float]] = []
+    while len(out) < steps and (free or waiting):
+        heap = free or waiting
+        _, _, value, key = heapq.heappop(heap)
+        now = entry(key)
+        if heap is free and repeats.get(key[0], 0) >= cap:
+            heapq.heappush(waiting, now)
+            continue
+        if now[2] != value:
+            heapq.heappush(heap, now)
+            continue
+        own, src = key
+        out.append((runs[key].pop(), value))
+        if own >= 0:
+            repeats[own] = repeats.get(own, 0) + 1
+        if src >= 0:
+            used.add(src)
+        if runs[key]:
+            heapq.heappush(waiting if own >= 0 and repeats[own] >= cap else free, entry(key))
+    return out
+
+
 def rerank_diversity(
     ranked: DataFrame, *, exploration: float, strength: float = 1.0, k: int | None = None
 ) -> DataFrame:
     """Greedy order: each step takes the best score + novelty + new-source bonus - repeated-artist penalty.
 
     An artist at the cap waits while another artist is left. Needs user_id, track_id, score,
-    artist_name, candidate_sources (text), catalog_novelty. The steps depend on each other, but only
-    inside one user's short list: lists of many users run as one padded matrix per Arrow batch.
+    artist_name, candidate_sources (text), catalog_novelty. Rows of one artist and source lose and gain
+    alike, so they form a run sorted by their fixed part, and only the head of a run can win a step: the rows
+    of a listener arrive sorted by run, and a heap of heads gives out the order. Memory is linear in the
+    longest list, time is steps x log(runs), whatever other listeners a task has.
     """
     e = min(max(float(exploration), 0.0), 1.0)
     s = min(max(float(strength), 0.0), 1.0)
     cap = CAP_HIGH if e >= CAP_SWITCH else CAP_LOW
     u_type, t_type = ranked.schema["user_id"].dataType, ranked.schema["track_id"].dataType
     source = F.lower(F.trim(F.coalesce(F.get(F.split("candidate_sources", ","), F.lit(0)), F.lit(""))))
-    rows = ranked.select(
-        "user_id",
-        F.struct(
-            "track_id", F.col("score").cast("double").alias("score"),
-            try_double(F.col("catalog_novelty")).alias("novelty"),
-            F.lower(strip(F.coalesce("artist_name", F.lit("")))).alias("artist"), source.alias("source"),
-        ).alias("c"),
-    )
-    lists = rows.groupBy("user_id").agg(F.collect_list("c").alias("c"))
+    bonus, pen, src_bonus = NOVELTY_BONUS * e * s, ARTIST_PENALTY * e * s, SOURCE_BONUS * e * s
+    fixed = F.col("score").cast("double") + F.lit(bonus) * try_double(F.col("catalog_novelty"))
+    rows = ranked.select("user_id", "track_id", F.lower(strip(F.coalesce("artist_name", F.lit("")))).alias("artist"), source.alias("source"), fixed.alias("fixed"))
+    lists = rows.repartition("user_id").sortWithinPartitions("user_id", rank_key(F.col("fixed")).desc(), "track_id")
     schema = T.StructType(
         [
             T.StructField("user_id", u_type), T.StructField("track_id", t_type),
             T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()),
         ]
     )
-    bonus, pen, src_bonus = NOVELTY_BONUS * e * s, ARTIST_PENALTY * e * s, SOURCE_BONUS * e * s
-
     def reorder(batches):
         import numpy as np
         import pyarrow as pa
 
+        def finish(table):
+            size = table.num_rows
+            fixed = table.column("fixed").to_numpy()
+            names = {c: table.column(c).combine_chunks().dictionary_encode() for c in ("artist", "source")}
+            artist, source = (np.where(np.array(v.dictionary.to_pylist())[v.indices.to_numpy()] == "", -1, v.indices.to_numpy()) for v in names.values())
+            ids = np.unique(table.column("track_id").to_numpy(), return_inverse=True)[1]  # order of ids of any type
+            order = greedy_order(fixed, artist, source, ids, cap=cap, penalty=pen, source_bonus=src_bonus, steps=size if k is None else min(k, size))
+            at = np.array([row for row, _ in order], dtype=np.int64)
+            part = table.select(["user_id", "track_id"]).take(pa.array(at))
+            return pa.table([*part.columns, pa.array(np.arange(1, len(at) + 1), pa.int32()), pa.array([v for _, v in order], pa.float64())], names=schema.names).to_batches()
+
+        held = []  # from the first row of the last listener on
         for batch in batches:
-            users = batch.column("user_id")
-            lists_col = batch.column("c")
-            cells = lists_col.flatten()
-            sizes = np.diff(lists_col.offsets.to_numpy())
-            if not len(cells) or k is not None and k <= 0:
+            if not batch.num_rows or k is not None and k <= 0:
                 continue
-            n_users, width = len(sizes), int(sizes.max())
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            row = np.repeat(np.arange(n_users), sizes)
-            col = np.arange(len(cells)) - np.repeat(starts, sizes)
-
-            def codes(name):
-                return np.unique(cells.field(name).to_numpy(zero_copy_only=False), return_inverse=True)
-
-            def padded(values, fill):
-                m = np.full((n_users, width), fill)
-                m[row, col] = values
-                return m
-
-            _, id_code = codes("track_id")
-            artists, artist_code = codes("artist")
-            sources, source_code = codes("source")
-            artist_code = np.where(artists[artist_code] == "", -1, artist_code)
-            source_code = np.where(sources[source_code] == "", -1, source_code)
-            ids = padded(id_code, np.iinfo(np.int64).max)
-            artist, src = padded(artist_code, -1), padded(source_code, -1)
-            static = padded(cells.field("score").to_numpy() + bonus * cells.field("novelty").to_numpy(), 0.0)
-            left = padded(True, False)
-            at = padded(np.arange(len(cells)), -1)
-            repeats = np.zeros((n_users, width))
-            fresh = src >= 0
-            every = np.arange(n_users)
-            steps = width if k is None else min(k, width)
-            out_user, out_cell, out_rank, out_score = [], [], [], []
-            for step in range(steps):
-                active = left.any(axis=1)
-                over = (artist >= 0) & (repeats >= cap)
-                alternative = (left & ~over).any(axis=1)
-                allowed = left & ~(over & alternative[:, None])
-                value = np.where(allowed, static + src_bonus * fresh - pen * repeats, -np.inf)
-                key = np.round(value, RANK_DIGITS)
-                tied = allowed & (key == key.max(axis=1)[:, None])
-                pick = np.where(tied, ids, np.iinfo(np.int64).max).argmin(axis=1)
-                live = every[active]
-                out_user.append(live)
-                out_cell.append(at[live, pick[live]])
-                out_rank.append(np.full(len(live), step + 1))
-                out_score.append(value[live, pick[live]])
-                left[live, pick[live]] = False
-                chosen_artist = np.where(active, artist[every, pick], -1)
-                chosen_source = np.where(active, src[every, pick], -1)
-                repeats += (artist == chosen_artist[:, None]) & (artist >= 0)
-                fresh &= ~((src == chosen_source[:, None]) & (src >= 0))
-            u = np.concatenate(out_user)
-            c = np.concatenate(out_cell)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    users.take(pa.array(u)), cells.field("track_id").take(pa.array(c)),
-                    pa.array(np.concatenate(out_rank), type=pa.int32()), pa.array(np.concatenate(out_score)),
-                ],
-                names=["user_id", "track_id", "rank", "score"],
-            )
+            ids = batch.column("user_id").to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if held and held[-1].column("user_id")[0].as_py() != batch.column("user_id")[a].as_py():
+                    yield from finish(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from finish(pa.Table.from_batches(held))
 
     return lists.mapInArrow(reorder, schema)
 

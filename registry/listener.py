@@ -165,6 +165,11 @@ def fixed_cluster_profile(spark, d):
     return T.taste_profile(profile_row_table(spark, d), clusters).withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 
+def mean_signals(spark, d):
+    recent = salted_join(V.recent(spark, d).select("user_id", "track_id").distinct(), V.tracks(spark, d), "track_id", spread=["user_id"], how="inner")
+    return T.mean_signals(recent).select("user_id", F.array_join("signals", "|").alias("signals"))
+
+
 def _top(spark, d, k=3):
     features, names = content_features(V.curated(spark, d))
     return content_topk(features, V.interactions(spark, d), len(names), k=k), features, names
@@ -207,13 +212,15 @@ def rationale(spark, d):
 
 def explanation_labels(spark, d):
     ranked, features, _ = _top(spark, d)
-    refs = _references(spark, d)
-    near = T.nearest_references(ranked, refs, features, features)
+    ranked, features = V.once(ranked), V.once(features)
+    plays = V.recent(spark, d).groupBy("user_id", F.col("track_id").alias("reference_id")).agg(F.min("pos").alias("ref_pos"))
+    near_recent = T.nearest_references(ranked, plays, features, features)
+    near_seeds = T.nearest_references(ranked, _references(spark, d), features, features)
     t = V.tracks(spark, d)
     labels = t.select("track_id", T.play_label().alias("label"))
     recent = T.first_labels(V.recent(spark, d), T.play_label(), "pos")
     seeds = T.first_labels(salted_join(V.seeds(spark, d), labels, "track_id", spread=["user_id"]), F.col("label"), "seed_pos")
-    out = T.enrich(ranked, near, near, recent, seeds, labels)
+    out = T.enrich(ranked, near_recent, near_seeds, recent, seeds, labels)
     return out.select(
         "user_id", "track_id", F.array_join("recent_labels", "|").alias("recent_labels"),
         F.array_join("seed_labels", "|").alias("seed_labels"), "item_specific",
@@ -656,6 +663,13 @@ view("v_near", f"""
   FROM v_content_top c JOIN v_seeds s USING (user_id) JOIN v_unit a ON a.track_id = c.track_id JOIN v_unit b ON b.track_id = s.track_id
   WHERE c.rank <= 3 QUALIFY place <= 2
 """)
+view("v_near_recent", f"""
+  SELECT c.user_id, c.track_id, s.track_id AS reference_id,
+         row_number() OVER (PARTITION BY c.user_id, c.track_id ORDER BY round({dot('a.u', 'b.u')}, 9) DESC, s.pos) AS place
+  FROM v_content_top c JOIN (SELECT user_id, track_id, min(pos) AS pos FROM v_recent GROUP BY 1, 2) s USING (user_id)
+  JOIN v_unit a ON a.track_id = c.track_id JOIN v_unit b ON b.track_id = s.track_id
+  WHERE c.rank <= 3 QUALIFY place <= 2
+""")
 view("v_first", """
   SELECT a.user_id, recent_labels, artists FROM
     (SELECT user_id, string_agg(l, '|' ORDER BY ord) AS recent_labels FROM (SELECT user_id, track_name || ' - ' || artist_name AS l, min(pos) AS ord
@@ -701,7 +715,7 @@ QUERIES = {
     "artist_affinity": artist_affinity, "seed_affinity": seed_affinity, "taste_means": taste_means,
     "top_artists": top_artists, "top_genres": top_genres, "personality": personality, "profile_rows": profile_rows,
     "fixed_cluster_profile": fixed_cluster_profile,
-    "taste_signals": taste_signals, "nearest_references": nearest_references, "first_labels": first_labels,
+    "taste_signals": taste_signals, "mean_signals": mean_signals, "nearest_references": nearest_references, "first_labels": first_labels,
     "rationale": rationale, "explanation_labels": explanation_labels, "score_breakdown": score_breakdown,
     "history_profile": history_profile, "mood_relevance": mood_relevance, "mood_audio": mood_audio,
     "mood_keyword": mood_keyword, "exploration_labels": exploration_labels, "bucket_topk": bucket_topk,
@@ -756,6 +770,9 @@ ORACLES = {
     "profile_rows": with_views("SELECT user_id, track_id, track_name, artist_name, is_recent FROM v_prof JOIN v_tracks USING (track_id)"),
     "fixed_cluster_profile": _chain("v_prof, v_tracks", FIXED_SQL),
     "taste_signals": with_views("SELECT user_id, list_aggregate(signals, 'string_agg', '|') AS signals FROM v_signal"),
+    "mean_signals": with_views("""
+      SELECT user_id, printf('energy %.2f|valence %.2f|danceability %.2f', avg(energy), avg(valence), avg(danceability)) AS signals
+      FROM (SELECT DISTINCT user_id, track_id FROM v_recent) JOIN v_tracks USING (track_id) GROUP BY 1"""),
     "nearest_references": with_views("SELECT user_id, track_id, reference_id, round(similarity, 6) AS similarity, place AS rank FROM v_near"),
     "first_labels": with_views("SELECT user_id, recent_labels, artists FROM v_first"),
     "rationale": with_views("""
@@ -767,9 +784,11 @@ ORACLES = {
             FROM v_content_top c JOIN v_tracks t USING (track_id) JOIN v_first f USING (user_id) JOIN v_signal s USING (user_id) JOIN v_mood m USING (user_id)
             WHERE c.rank <= 3)"""),
     "explanation_labels": with_views("""
-      SELECT user_id, track_id, string_agg(track_name || ' - ' || artist_name, '|' ORDER BY place) AS recent_labels,
-             string_agg(track_name || ' - ' || artist_name, '|' ORDER BY place) AS seed_labels, true AS item_specific
-      FROM v_near n JOIN (SELECT track_id AS reference_id, track_name, artist_name FROM v_tracks) USING (reference_id) GROUP BY 1, 2"""),
+      SELECT user_id, track_id, r.labels AS recent_labels, s.labels AS seed_labels, true AS item_specific FROM
+        (SELECT user_id, track_id, string_agg(track_name || ' - ' || artist_name, '|' ORDER BY place) AS labels
+         FROM v_near_recent JOIN (SELECT track_id AS reference_id, track_name, artist_name FROM v_tracks) USING (reference_id) GROUP BY 1, 2) r
+      JOIN (SELECT user_id, track_id, string_agg(track_name || ' - ' || artist_name, '|' ORDER BY place) AS labels
+         FROM v_near JOIN (SELECT track_id AS reference_id, track_name, artist_name FROM v_tracks) USING (reference_id) GROUP BY 1, 2) s USING (user_id, track_id)"""),
     "score_breakdown": with_views(f"""
       SELECT user_id, track_id, any_value(rank) AS rank, round(any_value(score), 6) AS score, string_agg(feature_name, '|' ORDER BY o) AS top_features
       FROM (SELECT r.user_id, r.track_id, r.rank, r.score, z.feature_name,

@@ -103,6 +103,11 @@ def model_verdicts(spark, d):
     return E.model_verdicts(_benchmark(spark, d, CORE_MODELS), pairs)
 
 
+def advanced_verdicts(spark, d):
+    """The four comparisons of the advanced models."""
+    return E.model_verdicts(_benchmark(spark, d, ALL_MODELS))
+
+
 # --- SQL ------------------------------------------------------------------------------------------
 
 view("v_split", """
@@ -227,6 +232,7 @@ QUERIES = {
     "train_pool": train_pool, "ranking_metrics": ranking_metrics, "list_quality": list_quality,
     "catalog_coverage": coverage, "benchmark_core": benchmark_core, "benchmark_all": benchmark_all,
     "benchmark_strength": benchmark_strength, "benchmark_strength_core": benchmark_strength_core, "weight_tuning": weight_tuning, "model_verdicts": model_verdicts,
+    "advanced_verdicts": advanced_verdicts,
 }
 ORACLES = {
     "holdout_time": with_views("SELECT user_id, track_id, place <= 1 AS is_test FROM v_split"),

@@ -200,3 +200,30 @@ def test_keyword_mood(spark):
     assert got[0] == pytest.approx(0.72 * (0.22 + 0.12 + 0.15) + 0.28) and got[1] == pytest.approx(0.28 * (1 - 0.56))
     assert M.scoring_mood("focus") == "calm"
     assert math.isclose(sum(M.POSITIVE_SIGNALS["happy"].values()), 1.0)
+
+
+def test_one_long_list_next_to_short_ones(spark):
+    """Heap order and playlist matrix against the plain rule, and a long list that no padding multiplies."""
+    rng = random.Random(8)
+    rows = [("long", t, rng.random(), f"A{rng.randrange(9)}", rng.choice(["", "s1, x", "S2", "s3"]), rng.random()) for t in range(700)]
+    rows += [(f"u{u}", t, round(rng.random(), 1), rng.choice(["", "A", "a ", "B"]), rng.choice(["", "p", "q"]), 0.5) for u in range(30) for t in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame(rows, "user_id string, track_id long, score double, artist_name string, candidate_sources string, catalog_novelty double").repartition(3)
+    out = R.rerank_diversity(df, exploration=0.7, strength=0.8)
+    got = {}
+    for r in out.orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append(r["track_id"])
+    for user in ("long", "u0", "u7", "u29"):
+        left = [(t, s + 0.35 * 0.7 * 0.8 * n, a.strip().lower(), src.split(",")[0].strip().lower()) for u, t, s, a, src, n in rows if u == user]
+        repeats, seen, want = {}, set(), []
+        while left:
+            under = [x for x in left if not (x[2] and repeats.get(x[2], 0) >= 2)] or left
+            value = lambda x: x[1] + 0.12 * 0.56 * bool(x[3] and x[3] not in seen) - 0.95 * 0.56 * (repeats.get(x[2], 0) if x[2] else 0)
+            best = min(under, key=lambda x: (-round(value(x), 9), x[0]))
+            left.remove(best)
+            want.append(best[0])
+            repeats[best[2]] = repeats.get(best[2], 0) + 1
+            seen.add(best[3])
+        assert got[user] == want
+    n = 200_000
+    big = spark.range(n).selectExpr("'big' AS user_id", "id AS track_id", "(id * 7919 % 100003) / 100003D AS score", "concat('A', id % 5000) AS artist_name", "concat('s', id % 3) AS candidate_sources", "0.5D AS catalog_novelty")
+    assert R.rerank_diversity(big, exploration=0.7).agg(F.max("rank"), F.countDistinct("track_id")).first()[:] == (n, n)
