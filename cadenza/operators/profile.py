@@ -275,7 +275,7 @@ def mean_signals(recent_tracks: DataFrame) -> DataFrame:
     """(user_id, signals): each of three columns with its mean over the listener's rows, two decimals, where it has one."""
     present = [c for c in MEAN_SIGNALS if c in recent_tracks.columns]
     means = recent_tracks.groupBy("user_id").agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(try_double(F.col(c), None)).alias(c) for c in present])
-    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c} "), F.format_string("%.2f", F.bround(c, 2)))) for c in present]
+    parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c} "), F.format_string("%.2f", F.bround(F.round(c, 9), 2)))) for c in present]
     signals = F.array_compact(F.array(*parts).cast("array<string>"))
     return means.select("user_id", F.when(F.size(signals) > 0, signals).otherwise(F.array(F.lit(NO_SIGNALS))).alias("signals"))
 

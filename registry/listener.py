@@ -12,8 +12,10 @@ from cadenza.operators import mood as M
 from cadenza.operators import playlist as P
 from cadenza.operators import profile as T
 from cadenza.operators import rerank as R
+from cadenza.operators import union_match as U
 from cadenza.operators.content import content_explain, content_topk
 from cadenza.operators.factors import factor_scores, fit_factors
+from cadenza.operators.features import AUDIO_COLUMNS as F_AUDIO
 from cadenza.operators.features import content_features
 from cadenza.operators.history_view import history_ranking, listener_content, listener_features, mood_summary
 from cadenza.plans.skew import salted_join
@@ -234,10 +236,20 @@ def score_breakdown(spark, d):
     return _long(out.select("user_id", "track_id", "rank", F.round("score", 6).alias("score"), F.array_join("top_features", "|").alias("top_features")))
 
 
+def _union_match(spark, d):
+    t = V.once(V.tracks(spark, d))
+    recent = V.recent(spark, d).select("user_id", "track_id").distinct()
+    history = salted_join(recent, t, "track_id", spread=["user_id"], how="inner")
+    return U.match_seeds_on_union(V.once(history), V.seeds(spark, d), t)
+
+
+def union_seed_match(spark, d):
+    """Closest catalog tracks by z-scores on the catalog and the listener's own rows together."""
+    return _long(_union_match(spark, d).withColumn("score", F.round("score", 6)))
+
+
 def history_profile(spark, d):
-    features, names = content_features(V.curated(spark, d))
-    vectors = salted_join(V.seeds(spark, d), features, "track_id", spread=["user_id"], how="inner")
-    matched = G.match_seeds(vectors.select("user_id", "seed_pos", "features"), features, len(names))
+    matched = _union_match(spark, d)
     out = T.history_profile(V.recent(spark, d), matched, T.infer_mood(_means(spark, d)))
     return out.select(
         "user_id", F.array_join("recent_artists", "|").alias("recent_artists"),
@@ -683,6 +695,40 @@ view("v_match", f"""
   FROM (SELECT user_id, track_id, w / sum(w) OVER (PARTITION BY user_id) AS w FROM v_seed_w) q
   JOIN v_unit b USING (track_id) CROSS JOIN v_unit t GROUP BY 1, 2 QUALIFY rank <= 5
 """)
+# The union of the catalog and one listener's tracks: sums of both, then z-scores of every catalog track for every listener.
+view("v_um_own", "SELECT DISTINCT user_id, track_id FROM v_recent")
+view("v_um_values", f"""
+  SELECT track_id, f, value FROM (SELECT track_id, unnest([{', '.join('0.0::DOUBLE' if c == 'speechiness' else f'cast({c} AS DOUBLE)' for c in F_AUDIO)}]) AS value,
+    unnest(range({len(F_AUDIO)})) AS f FROM v_tracks)
+""")
+view("v_um_numbers", """
+  SELECT user_id, f, m, CASE WHEN s <= 1e-12 * greatest(abs(m), 1.0) THEN 1.0::DOUBLE ELSE s END AS s FROM (
+    SELECT user_id, f, avg(value) AS m, stddev_pop(value) AS s FROM (
+      SELECT user_id, f, value FROM v_um_own JOIN v_um_values USING (track_id)
+      UNION ALL SELECT u.user_id, f, value FROM (SELECT DISTINCT user_id FROM v_um_own) u CROSS JOIN v_um_values) GROUP BY 1, 2)
+""")
+view("v_um_genres", """
+  SELECT user_id, genre, n / cast(total AS DOUBLE) AS p FROM (
+    SELECT user_id, genre, sum(n) AS n FROM (
+      SELECT user_id, genre, count(*) AS n FROM v_um_own JOIN v_tokens USING (track_id) GROUP BY 1, 2
+      UNION ALL SELECT u.user_id, genre, n FROM (SELECT DISTINCT user_id FROM v_um_own) u CROSS JOIN (SELECT genre, count(*) AS n FROM v_tokens GROUP BY 1)) GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sum(n) DESC, genre) <= 20)
+  JOIN (SELECT user_id, count(*) + (SELECT count(*) FROM v_tracks) AS total FROM v_um_own GROUP BY 1) USING (user_id)
+""")
+view("v_um_z", """
+  SELECT user_id, track_id, list(z ORDER BY o) AS z FROM (
+    SELECT user_id, track_id, cast(f AS VARCHAR) AS o, (value - m) / s AS z FROM v_um_numbers JOIN v_um_values USING (f)
+    UNION ALL SELECT g.user_id, t.track_id, 'g' || g.genre, (CASE WHEN k.genre IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END - p)
+        / CASE WHEN sqrt(p * (1 - p)) <= 1e-12 THEN 1.0::DOUBLE ELSE sqrt(p * (1 - p)) END
+      FROM v_um_genres g CROSS JOIN v_tracks t LEFT JOIN v_tokens k ON k.track_id = t.track_id AND k.genre = g.genre) GROUP BY 1, 2
+""")
+view("v_um_unit", f"SELECT user_id, track_id, [x / CASE WHEN {dot('z', 'z')} > 0 THEN sqrt({dot('z', 'z')}) ELSE 1.0 END for x in z] AS u FROM v_um_z")
+view("v_um_match", f"""
+  SELECT q.user_id, t.track_id, sum(q.w * {dot('b.u', 't.u')}) AS score,
+         row_number() OVER (PARTITION BY q.user_id ORDER BY round(sum(q.w * {dot('b.u', 't.u')}), 9) DESC, t.track_id) AS rank
+  FROM (SELECT user_id, track_id, w / sum(w) OVER (PARTITION BY user_id) AS w FROM v_seed_w) q
+  JOIN v_um_unit b USING (user_id, track_id) JOIN v_um_unit t ON t.user_id = q.user_id GROUP BY 1, 2 QUALIFY rank <= 5
+""")
 view("v_play_rows", "SELECT b.user_id, t.* FROM v_b_ranked b JOIN v_tracks t USING (track_id) WHERE bucket = 'mood_based' AND rank <= 10")
 _WORKOUT = " + ".join(
     f"greatest(0.0, 1.0::DOUBLE - abs({n} - {t!r}::DOUBLE) / {tol!r}::DOUBLE)" for n, (t, tol) in M.MOOD_PROFILES["workout"]["features"].items()
@@ -717,7 +763,7 @@ QUERIES = {
     "fixed_cluster_profile": fixed_cluster_profile,
     "taste_signals": taste_signals, "mean_signals": mean_signals, "nearest_references": nearest_references, "first_labels": first_labels,
     "rationale": rationale, "explanation_labels": explanation_labels, "score_breakdown": score_breakdown,
-    "history_profile": history_profile, "mood_relevance": mood_relevance, "mood_audio": mood_audio,
+    "union_seed_match": union_seed_match, "history_profile": history_profile, "mood_relevance": mood_relevance, "mood_audio": mood_audio,
     "mood_keyword": mood_keyword, "exploration_labels": exploration_labels, "bucket_topk": bucket_topk,
     "buckets": buckets, "keyword_buckets": keyword_buckets, "adjusted_scores": adjusted_scores,
     "artist_penalty": artist_penalty, "profile_rerank": profile_rerank, "diversity_rerank": diversity_rerank,
@@ -770,9 +816,13 @@ ORACLES = {
     "profile_rows": with_views("SELECT user_id, track_id, track_name, artist_name, is_recent FROM v_prof JOIN v_tracks USING (track_id)"),
     "fixed_cluster_profile": _chain("v_prof, v_tracks", FIXED_SQL),
     "taste_signals": with_views("SELECT user_id, list_aggregate(signals, 'string_agg', '|') AS signals FROM v_signal"),
+    # Two decimals, half to even, of the mean rounded to nine: by whole numbers, as printf would go by the binary value.
     "mean_signals": with_views("""
-      SELECT user_id, printf('energy %.2f|valence %.2f|danceability %.2f', avg(energy), avg(valence), avg(danceability)) AS signals
-      FROM (SELECT DISTINCT user_id, track_id FROM v_recent) JOIN v_tracks USING (track_id) GROUP BY 1"""),
+      SELECT user_id, string_agg(name || ' ' || (h // 100) || '.' || lpad(cast(h % 100 AS VARCHAR), 2, '0'), '|' ORDER BY o) AS signals FROM (
+        SELECT user_id, o, name, v // 10000000 + CASE WHEN v % 10000000 > 5000000 OR (v % 10000000 = 5000000 AND (v // 10000000) % 2 = 1) THEN 1 ELSE 0 END AS h FROM (
+          SELECT user_id, unnest([0, 1, 2]) AS o, unnest(['energy', 'valence', 'danceability']) AS name,
+                 unnest([cast(round(avg(energy) * 1e9) AS BIGINT), cast(round(avg(valence) * 1e9) AS BIGINT), cast(round(avg(danceability) * 1e9) AS BIGINT)]) AS v
+          FROM (SELECT DISTINCT user_id, track_id FROM v_recent) JOIN v_tracks USING (track_id) GROUP BY 1)) GROUP BY 1"""),
     "nearest_references": with_views("SELECT user_id, track_id, reference_id, round(similarity, 6) AS similarity, place AS rank FROM v_near"),
     "first_labels": with_views("SELECT user_id, recent_labels, artists FROM v_first"),
     "rationale": with_views("""
@@ -798,8 +848,9 @@ ORACLES = {
             JOIN v_profile_z pz ON pz.user_id = r.user_id AND pz.pos = z.pos
             JOIN v_profile pv ON pv.user_id = r.user_id JOIN v_vec tv ON tv.track_id = r.track_id
             WHERE r.rank <= 3 AND NOT (z.feature_name LIKE 'genre_%' AND pz.z <= 0 AND z.z <= 0) QUALIFY o <= 3) GROUP BY 1, 2"""),
+    "union_seed_match": with_views("SELECT user_id, track_id, round(score, 6) AS score, rank FROM v_um_match"),
     "history_profile": with_views("""
-      SELECT user_id, artists AS recent_artists, (SELECT string_agg(cast(track_id AS VARCHAR), '|' ORDER BY rank) FROM v_match WHERE v_match.user_id = v_first.user_id) AS seed_track_ids, mood
+      SELECT user_id, artists AS recent_artists, (SELECT string_agg(cast(track_id AS VARCHAR), '|' ORDER BY rank) FROM v_um_match WHERE v_um_match.user_id = v_first.user_id) AS seed_track_ids, mood
       FROM v_first JOIN v_mood USING (user_id)"""),
     "mood_relevance": with_views(MOOD_RELEVANCE_SQL),
     "mood_audio": with_views(MOOD_AUDIO_SQL),
