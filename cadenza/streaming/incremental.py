@@ -91,6 +91,42 @@ def stream_running_counts(listens: DataFrame, *, watermark: str | None = None) -
     )
 
 
+def bucket_counts(listens: DataFrame, *, watermark: str, bucket: str = "1 day") -> DataFrame:
+    """Running count, first and last time per (user, track, time bucket), a stateful aggregate in update mode.
+
+    State of a bucket is given up when the watermark has passed it, so it is bounded by the buckets that are
+    open; rows that come later than that, and rows without a time, are not counted.
+    """
+    rows = listens.withWatermark("ts", watermark)
+    return rows.groupBy(F.window("ts", bucket).alias("bucket"), "user_id", "track_id").agg(
+        F.count(F.lit(1)).alias("listen_count"), F.min("ts").alias("first_timestamp"), F.max("ts").alias("last_timestamp")
+    )
+
+
+def upsert_running_counts(listens: DataFrame, path: str, checkpoint: str, *, watermark: str, bucket: str = "1 day", **trigger) -> StreamingQuery:
+    """Upsert the groups that a micro-batch changed: each is written whole under the batch's number; the newest one counts."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.withColumn("bucket", F.col("bucket.start")).withColumn("version", F.lit(batch_id).cast("long"))
+        _write_part(changed, path, _part_name(batch, batch_id))
+
+    counts = bucket_counts(listens, watermark=watermark, bucket=bucket)
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_running_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(user_id, track_id, listen_count, first_timestamp, last_timestamp) over all buckets as last upserted.
+
+    A query's state starts empty, so the rows of two queries on one table are added, the versions of one replaced.
+    """
+    rows = _live(spark, path).withColumn("query", F.regexp_replace("part", "-[0-9]+$", ""))
+    values = F.struct("listen_count", "first_timestamp", "last_timestamp")
+    newest = rows.groupBy("query", "user_id", "track_id", "bucket").agg(F.max_by(values, "version").alias("v")).select("user_id", "track_id", "v.*")
+    return newest.groupBy("user_id", "track_id").agg(
+        F.sum("listen_count").alias("listen_count"), F.min("first_timestamp").alias("first_timestamp"), F.max("last_timestamp").alias("last_timestamp")
+    )
+
+
 def stream_recent_plays(
     plays: DataFrame, path: str, checkpoint: str, *, limit: int = RECENT_PLAYS, **trigger
 ) -> StreamingQuery:

@@ -754,6 +754,21 @@ LISTENER_SQL = """
         FROM z JOIN p USING (user_id, f) SEMI JOIN v_dedup USING (user_id, track_id) ANTI JOIN v_seeds USING (user_id, track_id) GROUP BY 1, 2)
   SELECT user_id, track_id, round(score, 6) AS score FROM c WHERE score > 0
 """
+def stream_counts(spark, d):
+    """Upserted running counts of a stream of several micro-batches; the watermark is long enough for its disorder."""
+    from cadenza.session import ensure_checkpoint_dir
+    from cadenza.streaming.incremental import read_running_counts, upsert_running_counts
+
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/counts-{uuid.uuid4().hex}"
+    plays = V.event_plays(spark, d).select("user_id", "track_id", F.col("timestamp").cast("timestamp").alias("ts"))
+    plays.repartition(3).write.parquet(f"{base}/in")
+    source = spark.readStream.schema(plays.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    upsert_running_counts(source, f"{base}/table", f"{base}/log", watermark="40000 days", bucket="30 days", availableNow=True).awaitTermination()
+    out = read_running_counts(spark, f"{base}/table")
+    return out.select("user_id", "track_id", "listen_count", F.unix_micros("first_timestamp").alias("first"), F.unix_micros("last_timestamp").alias("last"))
+
+
 QUERIES = {
     "recent_plays": recent_plays, "seed_tracks": seed_tracks, "recent_distinct": recent_distinct,
     "candidate_expand": candidate_expand, "candidate_dedup": candidate_dedup, "pool_shares": pool_shares,
@@ -769,7 +784,7 @@ QUERIES = {
     "artist_penalty": artist_penalty, "profile_rerank": profile_rerank, "diversity_rerank": diversity_rerank,
     "full_ranking": full_ranking, "listener_content_scores": listener_content_scores, "top_moods": top_moods, "rank_diagnostics": rank_diagnostics, "bucket_overlap": bucket_overlap,
     "playlist_opener": playlist_opener, "playlist_sequence": playlist_sequence, "playlist_export": playlist_export,
-    "playlist_duration": playlist_duration, "stream_listens": stream_listens,
+    "playlist_duration": playlist_duration, "stream_listens": stream_listens, "stream_counts": stream_counts,
 }
 ORACLES = {
     "recent_plays": with_views("SELECT user_id, track_id, epoch_us(played_at) AS played_at, pos FROM v_recent"),
@@ -881,6 +896,8 @@ ORACLES = {
     "playlist_duration": with_views("""
       SELECT user_id, s AS total_seconds, cast(s // 60 AS VARCHAR) || ':' || lpad(cast(s % 60 AS VARCHAR), 2, '0') AS duration_label
       FROM (SELECT user_id, cast(round_even(sum(duration_ms) / 1000.0, 0) AS BIGINT) AS s FROM v_play_rows GROUP BY 1)"""),
+    "stream_counts": with_views("""
+      SELECT user_id, track_id, count(*) AS listen_count, epoch_us(min(ts)) AS "first", epoch_us(max(ts)) AS "last" FROM v_event_plays GROUP BY 1, 2"""),
     "stream_listens": with_views("""
       SELECT user_id, track_id, count(*) AS listen_count, cast(count(*) AS DOUBLE) AS interaction_strength,
              arg_min(artist_name, (ts, artist_name)) AS artist_name, arg_min(track_name, (ts, track_name)) AS track_name,
