@@ -17,6 +17,7 @@ from cadenza.sources import tables as S
 from cadenza.sources.bundles import curate_bundle
 from cadenza.sources.listens import read_listens
 from cadenza.sources.payloads import read_payload
+from cadenza.sources.split_json import read_split_payload
 from registry import collaborative, data  # noqa: F401  (the first defines SQL views used below)
 from registry import views as V
 from registry.sql import with_views
@@ -86,6 +87,16 @@ def bundle_artists(spark, d):
     return a.select("artist_id", "name", "genres", "followers_total", "track_count", F.round("avg_danceability", 6).alias("avg_danceability"), F.round("avg_tempo", 5).alias("avg_tempo"))
 
 
+def split_bundle(spark, d):
+    """Audio features as bundles of one JSON object on one line, each read in byte ranges by several tasks."""
+    path = _folder(spark, "split")
+    rows = _audio(spark, d).select(F.explode("audio_features").alias("a")).where("a IS NOT NULL")
+    bundles = rows.groupBy(F.pmod(F.xxhash64("a.id"), F.lit(16)).alias("bundle")).agg(F.collect_list("a").alias("audio_features"))
+    bundles.select(F.to_json(F.struct("bundle", "audio_features")).alias("value")).write.text(path)
+    out = N.audio_features(read_split_payload(spark, path, "audio_features"))
+    return out.select("track_id", "danceability", "loudness", "tempo", "duration_ms")
+
+
 def _listens_of(spark, path):
     rows = read_listens(spark, path)
     return rows.groupBy("user_id", "track_id", "artist_name", "track_name").agg(
@@ -183,7 +194,7 @@ _LOG_SQL = """
 QUERIES = {
     "audio_payload": audio_payload, "artist_payload": artist_payload, "headerless_log": headerless_log, "headered_log": headered_log,
     "table_exports": table_exports, "newest_run": newest_run, "stored_item_model": stored_item_model,
-    "bundle_tracks": bundle_tracks, "bundle_artists": bundle_artists,
+    "bundle_tracks": bundle_tracks, "bundle_artists": bundle_artists, "split_bundle": split_bundle,
     "stored_similarities": stored_similarities, "stored_factors": stored_factors, "stream_recent": stream_recent,
 }
 ORACLES = {
@@ -220,3 +231,4 @@ ORACLES = {
       SELECT user_id, track_id, epoch_us(ts) AS played_at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, track_id) - 1 AS pos
       FROM (SELECT DISTINCT user_id, track_id, ts FROM v_event_plays) QUALIFY pos < 20"""),
 }
+ORACLES["split_bundle"] = ORACLES["audio_payload"]
