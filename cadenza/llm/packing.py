@@ -53,7 +53,7 @@ class ChunkTokenizer:
     other chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, *, kept: int = 24 << 20, longest: int = 64) -> None:
+    def __init__(self, path: str, *, kept: int = 32 << 20, longest: int = 64) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -68,19 +68,30 @@ class ChunkTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        # Two generations: when the young one is full it becomes the old one, and what is still used moves over.
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
+            got = self.old.get(piece)
+            if got is not None:
+                self._keep(piece, got)
+                return got
             shown = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))
             got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(piece) <= self.longest:
-                self.pieces[piece] = got
-                self.held += ENTRY + len(piece) + len(got)
+                self._keep(piece, got)
         return got
 
+    def _keep(self, piece: str, got: bytes) -> None:
+        self.pieces[piece] = got
+        self.held += ENTRY + len(piece) + len(got)
+        if self.held > self.kept // 2:
+            self.old, self.pieces, self.held = self.pieces, {}, 0
+
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii() or max(chunk) < "\u0180" and "\u0130" not in chunk:
             low = chunk.lower()
@@ -107,14 +118,11 @@ class ChunkTokenizer:
 
     def forget(self) -> None:
         """Give the cached pieces back, so that an idle worker process holds the vocabulary only."""
-        self.pieces.clear()
-        self.held = 0
+        self.pieces, self.old, self.held = {}, {}, 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if self.held > self.kept:
-            self.forget()
         split = [self._folded(t).replace("\n", " ").split(" ") for t in texts]
         chunks = set(chain.from_iterable(split))
         known = dict(zip(chunks, map(self._chunk, chunks)))
