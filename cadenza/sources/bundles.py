@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cadenza.operators import normalize as N
 from cadenza.sources.payloads import PAYLOAD_SCHEMAS, read_payload
 from cadenza.sources.split_json import read_split_payload
-from cadenza.sources.tables import read_newest_run, write_run
+from cadenza.sources.tables import read_run, write_run
 
 #: Table of each payload kind, and how it is flattened.
 TABLES = {
@@ -31,7 +31,7 @@ def curate_bundle(spark: SparkSession, paths: Mapping[str, str | None], out: str
 
     def kept(name: str, df: DataFrame) -> DataFrame:
         write_run(df, f"{out}/{name}", run_ts)
-        return read_newest_run(spark, f"{out}/{name}").drop("run_ts")
+        return read_run(spark, f"{out}/{name}", run_ts, df.schema)
 
     def read(kind: str) -> DataFrame:
         if multi_line and kind != "playlist":
