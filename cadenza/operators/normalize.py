@@ -64,11 +64,6 @@ def select_existing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in columns if c in df.columns])
 
 
-def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Add absent columns with their default; present columns stay as they are."""
-    return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
-
-
 def _names(artists: str, field: str) -> Column:
     return X.join_list(F.transform(F.coalesce(F.col(artists), F.array()), lambda a: a[field]))
 

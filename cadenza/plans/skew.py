@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.session import ensure_checkpoint_dir
 
 
+def _splits_skew(spark: SparkSession) -> bool:
+    return all(spark.conf.get(f"spark.sql.adaptive.{c}", "true") == "true" for c in ("enabled", "skewJoin.enabled"))
+
+
 def salted_join(
     facts: DataFrame,
     per_key: DataFrame,
@@ -29,6 +34,8 @@ def salted_join(
     hash of the fact columns ``spread``; it is for sessions without adaptive execution.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    if salts == 1 and not _splits_skew(facts.sparkSession):
+        warnings.warn("adaptive skew joins are off: a hot key stays in one task; turn them on or give salts", stacklevel=2)
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
