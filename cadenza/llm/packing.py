@@ -53,7 +53,7 @@ class ChunkTokenizer:
     other chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, *, kept: int = 32 << 20, longest: int = 64) -> None:
+    def __init__(self, path: str, *, kept: int = 64 << 20, longest: int = 64) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -72,6 +72,9 @@ class ChunkTokenizer:
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
+        #: Whole chunks beside them, dropped all at once.
+        self.chunks: dict[str, bytes] = {}
+        self.seen = 0
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
@@ -118,15 +121,20 @@ class ChunkTokenizer:
 
     def forget(self) -> None:
         """Give the cached pieces back, so that an idle worker process holds the vocabulary only."""
-        self.pieces, self.old, self.held = {}, {}, 0
+        self.pieces, self.old, self.chunks, self.held, self.seen = {}, {}, {}, 0, 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [self._folded(t).replace("\n", " ").split(" ") for t in texts]
-        chunks = set(chain.from_iterable(split))
-        known = dict(zip(chunks, map(self._chunk, chunks)))
-        return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in split]
+        known = self.chunks
+        new = set(chain.from_iterable(split)).difference(known)
+        known.update(zip(new, map(self._chunk, new)))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in split]
+        self.seen += sum(map(len, new)) + ENTRY * len(new)
+        if self.seen > self.kept // 2:
+            self.chunks, self.seen = {}, 0
+        return out
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
