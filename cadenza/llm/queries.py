@@ -55,7 +55,9 @@ def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(_table(spark, sf_dir, "documents"))
-    counts = (F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS))
+    # One argument only: Spark hands a second one of a filter's function the element's index.
+    of_kind = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint")
+    counts = (of_kind(k).alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS))
     digest = F.sha2(personal_data.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, personal_data.joined(F.col("spans")).alias("spans"))
 

@@ -117,3 +117,14 @@ def test_items_without_id_are_hits(spark, tmp_path):
 def test_one_document_follows_itself(spark):
     r = bloom_lookup.edited_fingerprints(spark.createDataFrame([(1, "abcd\nefgh")], "doc_id long, text string")).first()
     assert r.edited == "abcd\nabcd" and r.near_next == 1.0
+
+
+def test_personal_data_is_counted_by_kind(spark, tmp_path):
+    texts = ["a@b.c d@e.f and g@h.i", "1.2.3.4 or 5.6.7.8", "4111 1111 1111 1111", "+1 (555) 123-4567, x@y.z", "+1.2.3.4567.89", "none", None]
+    rows = [(n, t, "en", "s") for n, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op7_weak_supervision(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in found} == {
+        0: (3, 0, 0, 0), 1: (0, 2, 0, 0), 2: (0, 0, 1, 0), 3: (1, 0, 0, 1), 4: (0, 0, 0, 1), 5: (0, 0, 0, 0), 6: (0, 0, 0, 0),
+    }
+    assert {r["base_sha256"] for r in found if r["doc_id"] == 0} == {hashlib.sha256(b"email:0:5,email:6:11,email:16:21").hexdigest()}
