@@ -11,7 +11,7 @@ from cadenza.operators.neighbours import cf_topk, item_neighbours
 from cadenza.operators.similarity import cosine_topk
 from cadenza.operators.context import build_sequences, cooccurrence
 from cadenza.plans.skew import dense_index, positions_by_time, salted_join
-from cadenza.plans.tiles import inner_products
+from cadenza.plans.tiles import HELD_BYTES, HELD_ITEMS, _cells, inner_products
 
 
 def _hot_interactions():
@@ -100,6 +100,34 @@ def test_tiles_equal_brute_force_with_exclusions(spark):
         assert got[a] == want
 
 
+@pytest.mark.parametrize("held_bytes,held_items,tile_rows", [(1 << 20, 1 << 20, 1024), (2000, 30, 4), (400, 7, 64)])
+def test_cells_of_any_size_equal_brute_force(spark, held_bytes, held_items, tile_rows):
+    rng = random.Random(5)
+    vec = lambda: [float(rng.randint(-2, 2)) for _ in range(4)]  # noqa: E731 - many equal scores
+    queries, items = [(n, vec()) for n in range(50)], [(n, vec()) for n in range(300)]
+    banned = {(rng.randrange(50), rng.randrange(300)) for _ in range(2000)}
+    q, i = spark.createDataFrame([*queries, (None, vec())], "q long, v array<double>"), spark.createDataFrame([*items, (None, [0.0] * 4), (301, None)], "i long, v array<double>")
+    ex = spark.createDataFrame([*banned, (None, 3), (4, None)], "q long, i long")
+    for k in (7, None):
+        out = inner_products(q, i, query="q", item="i", vector="v", k=k, floor=0.0, exclude=ex, tile_rows=tile_rows, held_bytes=held_bytes, held_items=held_items)
+        got = defaultdict(list)
+        for r in out.collect():
+            got[r["q"]].append((r["i"], r["score"]))
+        assert len(got[None]) > 0
+        for a, va in queries:
+            want = sorted(((b, s) for b, vb in items if (a, b) not in banned and (s := sum(x * y for x, y in zip(va, vb))) > 0), key=lambda x: (-x[1], x[0]))[:k]
+            assert sorted(got[a], key=lambda x: (-x[1], x[0])) == want
+
+
+def test_rows_of_large_products_are_sent_to_few_cells(spark):
+    """Sets of 2,048 rows would send 900,000 queries 586 times."""
+    q_sets, i_sets = _cells(900_000, 1_200_000, 29, 10, 32, HELD_BYTES, HELD_ITEMS)
+    assert q_sets * i_sets >= 32 and 900_000 * i_sets + 1_200_000 * q_sets < 20_000_000
+    q_sets, i_sets = _cells(5_400_000, 7_200_000, 29, 10, 32, HELD_BYTES, HELD_ITEMS)
+    assert 5_400_000 / q_sets * (29 * 8 + 240) <= HELD_BYTES and 7_200_000 / i_sets <= HELD_ITEMS
+    assert 5_400_000 * i_sets + 7_200_000 * q_sets < 250_000_000
+
+
 def test_cosine_include_self_and_zero_vector(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0])], "track_id long, features array<double>")
     rows = {(r["track_a"], r["track_b"]): r["similarity"] for r in cosine_topk(df, k=3, include_self=True).collect()}
