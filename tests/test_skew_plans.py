@@ -61,6 +61,25 @@ def test_item_neighbours_of_pieces(spark, piece_tracks, held, signs):
         assert [s for _, s in have] == pytest.approx([s for _, s in want[a]])
 
 
+@pytest.mark.parametrize("step,piece_tracks", [(3, 5), (40, 5), (1_000_000, 512)])
+def test_whole_lists_of_neighbours_leave_their_slot_ranked(spark, monkeypatch, step, piece_tracks):
+    """Lists were grouped and ranked again behind two more shuffles; a slot's sums were all held at once."""
+    monkeypatch.setattr("cadenza.operators.neighbours.STEP_PRODUCTS", step)
+    rows = _hot_interactions()
+    df = spark.createDataFrame([(u, i, float(v)) for (u, i), v in rows.items()], "user_id string, track_id long, interaction_strength double")
+    out = item_neighbours(df, k=6, piece_tracks=piece_tracks)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Aggregate" not in above and "Window" not in above and "Repartition" not in above
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r["track_id"]].append((r["neighbour_id"], r["similarity"]))
+    for a, want in _brute_neighbours(rows, 6).items():
+        have = sorted(got[a], key=lambda x: (-round(x[1], 9), x[0]))
+        assert [b for b, _ in have] == [b for b, _ in want]
+        assert [s for _, s in have] == pytest.approx([s for _, s in want])
+
+
 @pytest.mark.parametrize("piece_entries", [4096, 3])
 def test_cf_topk_every_path(spark, piece_entries):
     rows = _hot_interactions()
